@@ -1,0 +1,27 @@
+"""Equi-join against a side with unique keys, with the hot keys of the other side split."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key is hot if it holds more than this share of all rows, so at most 1 / SHARE keys can be.
+SHARE = 1 / 1000
+#: No key with fewer rows is worth a split.
+LEAST = 20_000
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, whose ``keys`` are unique and whose column ``rows`` counts the
+    left rows of the key; ``total`` is the number of left rows.
+
+    The left rows of a hot key are spread over as many parts as it has thousandths of the rows, and its one
+    right row is copied to each. The list of hot keys has at most 1,000 rows by its definition, so it is
+    broadcast whatever the size of the data. Null keys join nothing.
+    """
+    most = max(LEAST, int(total * SHARE))
+    parts = F.when(F.col(rows) > most, F.ceil(F.col(rows) / F.lit(most))).otherwise(F.lit(1)).cast("int")
+    hot = right.where(F.col(rows) > most).select(*keys, parts.alias("_parts"))
+    spread = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return spread.join(copied, [*keys, "_salt"]).drop("_salt")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from granary.functions.unpack import unpack
 
 BETWEEN_DIGITS = re.compile(r"(?<=\d)([^\w\s])(?=\d)")
-APART = re.compile(r"(?<=\d)[\s]+(?=\d)")
+APART = re.compile(r"(?<=\d)[^\w\ue000-\uf8ff\x1f]+(?=\d)")
 #: Private characters that stand for kept punctuation and for a gap between digits.
 KEEP, GAP = 0xE000, "\uf8ff"
 

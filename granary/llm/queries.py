@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import components, copies, survivors
+from granary.llm import bpe, components, copies, survivors
 from granary.session import table
 
 
@@ -24,5 +24,9 @@ def p5_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.voted_survivors(table(spark, sf_dir, "recipe_nlg"), p2_found(spark, sf_dir), table(spark, sf_dir, "source_registry"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_votes)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.found_ids(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_votes, p8_ids)}
 ORACLES: dict[str, str] = {}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,22 +14,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the one named by ``spark.checkpoint.dir``, which all executors share. Only where
-    neither that setting nor a folder exists (tests, local runs) a temporary one is made.
+    Only where that setting is missing (tests, local runs) a temporary one is made and set.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="granary-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="granary-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+_written: dict[str, SparkSession] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage, so that a lost executor costs no recomputation."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
+
+    A lost executor costs no recomputation of what came before, and later plans carry neither the lineage
+    nor the constraints of it. Tables are removed by ``drop`` or when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/granary-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables made by ``cut`` that nothing will read any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            remove(file.rsplit("/", 1)[0])
+
+
+def remove(path: str) -> None:
+    for known in [p for p in _written if path.endswith(p.split(":", 1)[-1])]:
+        spark = _written.pop(known)
+        where = spark._jvm.org.apache.hadoop.fs.Path(known)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def remove_all() -> None:
+    for path in list(_written):
+        try:
+            remove(path)
+        except Exception:  # the session has ended: its folder is its cluster's to clean
+            return
 
 
 #: Most rows of a table that may be broadcast; the reference lists hold a few hundred, fixed.

@@ -12,25 +12,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.skew import join_unique
-from granary.session import cut
+from granary.session import cut, drop
 
 STATE = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")]
 
 
 def star(edges: DataFrame, rows: int, large: bool) -> DataFrame:
-    """One rewrite of the edges (a > b), without repeats.
+    """One rewrite of the edges (a > b), without repeats, written out.
 
     Large: every neighbour above a node is tied to the smallest of the node and its neighbours. Small: every
     node and its smaller neighbours are tied to the smallest of them.
     """
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"), F.count("*").alias("rows"))
-        tied = join_unique(near, cut(least), ["a"], "rows", 2 * rows).where("b > a")
-        return tied.select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-    least = cut(edges.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("rows")))
-    tied = join_unique(edges, least, ["a"], "rows", rows).where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return tied.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
+        least = cut(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"), F.count("*").alias("rows")))
+        tied = join_unique(near, least, ["a"], "rows", 2 * rows).where("b > a")
+        rewritten = tied.select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
+    else:
+        least = cut(edges.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("rows")))
+        tied = join_unique(edges, least, ["a"], "rows", rows).where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        rewritten = tied.unionByName(least.select("a", F.col("least").alias("b")))
+    written = cut(rewritten.distinct())
+    drop(edges, least)
+    return written
 
 
 def components(pairs: DataFrame, one: str, other: str, most_rounds: int = 200) -> DataFrame:
@@ -47,9 +51,9 @@ def components(pairs: DataFrame, one: str, other: str, most_rounds: int = 200) -
         before = state
         if not before["n"]:
             break
-        edges = cut(star(edges, before["n"], large=True))
+        edges = star(edges, before["n"], large=True)
         between = edges.agg(*STATE).first()
-        edges = cut(star(edges, between["n"], large=False))
+        edges = star(edges, between["n"], large=False)
         state = edges.agg(*STATE).first()
         if state == before == between:
             break

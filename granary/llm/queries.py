@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, components, copies, survivors
+from granary.llm import bpe, canonical, components, copies, leaks, sentences, survivors
 from granary.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.found_items(*[table(spark, sf_dir, t) for t in ("recipe_nlg", "food_density", "food_category", "canonical_item")])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.found_groups(table(spark, sf_dir, "duplicate_likert_labels"))
 
@@ -28,5 +32,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.found_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_votes, p8_ids)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.found_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.found_sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p5_votes, p8_ids, p9_found, p10_found)}
 ORACLES: dict[str, str] = {}

@@ -96,7 +96,7 @@ def key(value: str) -> str:
         for size in (3, 2, 1):
             if len(words) >= size and addition(" ".join(words[-size:]), False):
                 words, changed = words[:-size], True
-            if len(words) > size and addition(" ".join(words[:size]), True):
+            if len(words) > size and addition(" ".join(words[:size]), True) and not (words[0] == "all" and near(words[1], "purpose")):
                 words, changed = words[size:], True
     words = [ABBREVIATIONS.get(w, w) for w in words]
     return " ".join(singular(w) for w in words if not (w in JOINERS or (2 < len(w) < 5 and distance(w, "and") == 1)))

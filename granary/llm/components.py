@@ -8,13 +8,16 @@ checksum of the edges. O(log^2 n) rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from granary.llm.skew import join_unique
 from granary.session import cut, drop
 
-STATE = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")]
+
+def state_of(edges: DataFrame) -> Row:
+    """Count and checksum: equal before and after a rewrite means that it changed nothing."""
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
 
 
 def star(edges: DataFrame, rows: int, large: bool) -> DataFrame:
@@ -46,15 +49,15 @@ def components(pairs: DataFrame, one: str, other: str, most_rounds: int = 200) -
     a, b = F.col(one).cast("long"), F.col(other).cast("long")
     edges = pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct()
     edges = cut(edges)
-    state = edges.agg(*STATE).first()
+    state = state_of(edges)
     for _ in range(most_rounds):
         before = state
         if not before["n"]:
             break
         edges = star(edges, before["n"], large=True)
-        between = edges.agg(*STATE).first()
+        between = state_of(edges)
         edges = star(edges, between["n"], large=False)
-        state = edges.agg(*STATE).first()
+        state = state_of(edges)
         if state == before == between:
             break
     else:

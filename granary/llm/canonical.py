@@ -30,18 +30,25 @@ from granary.session import broadcast_checked, cut
 THRESHOLD = 0.4
 
 # Additions before and behind a name, and abbreviated words.
-LEADING = [
-    "good quality", "room temperature", "thinly sliced", "a little", "your favourite", "your favorite", "finely chopped", "store bought", "ripe", "organic", "extra", "leftover", "some",
-    "large", "small", "medium", "local", "cold", "warm", "all", "assorted", "grp 4", "grp", "old",
-]
-TRAILING = [
-    "for serving", "to taste", "see note", "see note below", "about 2", "divided", "optional", "retail", "packed", "sifted", "loose", "tamped", "raw", "chilled", "unsorted", "etc", "other", "misc",
-    "as needed", "for garnish", "of choice", "for dusting",
-]
+LEADING = {
+    "food": [
+        "good quality", "room temperature", "thinly sliced", "a little", "your favourite", "your favorite", "finely chopped", "store bought", "ripe", "organic", "extra", "leftover", "some",
+        "large", "small", "medium", "local", "cold", "warm",
+    ],
+    "category": ["all", "assorted", "grp 4", "grp", "old", "misc", "other"],
+}
+TRAILING = {
+    "food": [
+        "for serving", "to taste", "see note", "see note below", "about 2", "divided", "optional", "retail", "packed", "sifted", "loose", "tamped", "raw", "chilled", "unsorted",
+        "as needed", "for garnish", "of choice", "for dusting",
+    ],
+    "category": ["etc", "other", "misc"],
+}
 ABBREVIATIONS = {
     "sgr": "sugar", "pwdr": "powder", "pwdred": "powdered", "flr": "flour", "grnd": "ground", "sce": "sauce", "chz": "cheese", "whl": "whole", "crm": "cream", "chkn": "chicken",
     "veg": "vegetable", "vin": "vinegar", "drd": "dried", "choc": "chocolate", "n": "and", "btr": "butter", "tom": "tomato", "frsh": "fresh", "blk": "black", "wht": "white", "grn": "green", "brd": "bread",
 }
+SINGLE = {leading: sorted({a for phrases in table.values() for a in phrases if " " not in a}) for leading, table in ((True, LEADING), (False, TRAILING))}
 JOINERS = frozenset(("and", "&"))
 WORD = re.compile(r"[^\W_]+(?:['’][a-z]+)?")
 
@@ -74,8 +81,8 @@ def near(text: str, phrase: str) -> bool:
 
 
 @lru_cache(maxsize=1 << 16)
-def addition(text: str, leading: bool) -> bool:
-    return any(near(text, phrase) for phrase in (LEADING if leading else TRAILING))
+def addition(text: str, kind: str, leading: bool) -> bool:
+    return any(near(text, phrase) for phrase in (LEADING if leading else TRAILING).get(kind, ()))
 
 
 def plain(text: str) -> str:
@@ -84,7 +91,7 @@ def plain(text: str) -> str:
 
 
 @lru_cache(maxsize=1 << 16)
-def key(value: str) -> str:
+def key(value: str, kind: str = "food") -> str:
     """Cleaned words of a value or a name; empty if nothing but additions is left."""
     text = re.sub(r"\([^()]*\)", " ", plain(value))
     words = WORD.findall(text)
@@ -94,9 +101,9 @@ def key(value: str) -> str:
     while changed:
         changed = False
         for size in (3, 2, 1):
-            if len(words) >= size and addition(" ".join(words[-size:]), False):
+            if len(words) >= size and addition(" ".join(words[-size:]), kind, False):
                 words, changed = words[:-size], True
-            if len(words) > size and addition(" ".join(words[:size]), True) and not (words[0] == "all" and near(words[1], "purpose")):
+            if len(words) > size and addition(" ".join(words[:size]), kind, True):
                 words, changed = words[size:], True
     words = [ABBREVIATIONS.get(w, w) for w in words]
     return " ".join(singular(w) for w in words if not (w in JOINERS or (2 < len(w) < 5 and distance(w, "and") == 1)))
@@ -118,24 +125,24 @@ def tokens(cleaned: str) -> list[str]:
 
 
 def cleaned(column: str) -> Column:
-    """``struct<key, tokens>`` of a value."""
+    """``struct<key, tokens>`` of a value of the kind in the column ``kind``."""
 
     @F.pandas_udf("struct<key:string,tokens:array<string>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = [key(v) for v in batch]
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for kinds, values in batches:
+            keys = [key(v, k) for k, v in zip(kinds, values, strict=True)]
             yield pd.DataFrame({"key": keys, "tokens": [tokens(k) for k in keys]})
 
-    return run(column)
+    return run("kind", column)
 
 
 def slip(value: str, name: str) -> bool:
     """Whether ``value`` is ``name`` but for slips: words in any rotation, joined or not, a slip in an addition."""
     words, target = value.split(), name.replace(" ", "")
     readings = [words]
-    if len(words) > 1 and any(distance(words[0], a) == 1 for a in LEADING if " " not in a):
+    if len(words) > 1 and any(distance(words[0], a) == 1 for a in SINGLE[True]):
         readings.append(words[1:])
-    if len(words) > 1 and any(distance(words[-1], a) == 1 for a in TRAILING if " " not in a):
+    if len(words) > 1 and any(distance(words[-1], a) == 1 for a in SINGLE[False]):
         readings.append(words[:-1])
     goals = {target, "".join(sorted(name.split()))}
     allowed = 1 if len(target) <= 4 else 2 if len(target) <= 8 else 3

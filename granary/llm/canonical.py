@@ -145,7 +145,10 @@ def slip(value: str, name: str) -> bool:
     if len(words) > 1 and any(distance(words[-1], a) == 1 for a in SINGLE[False]):
         readings.append(words[:-1])
     goals = {target, "".join(sorted(name.split()))}
-    allowed = 1 if len(target) <= 4 else 2 if len(target) <= 8 else 3
+    allowed = 1 if len(target) <= 4 else 2
+    if len(target) > 8:  # a third slip in a long name, if most of it is there
+        one, two = set(tokens(value)), set(tokens(name))
+        allowed += len(one & two) >= 0.5 * len(one | two)
     for reading in readings:
         turns = {"".join(reading[k:] + reading[:k]) for k in range(len(reading))} | {"".join(sorted(reading))}
         if any(abs(len(t) - len(g)) <= allowed and distance(t, g) <= allowed for t in turns for g in goals):

@@ -4,8 +4,8 @@
 2. Terms are ranked by the number of documents that hold them. Each test item is cut into blocks of BLOCK
    words, and the rarest term of a block stands for it.
 3. The lists of those terms are intersected by offset (document position less item position): a document is
-   a candidate for an item if SUPPORT blocks agree on an offset, give or take the shift that added and
-   dropped words cause. A passage of LEAST words holds at least 4 whole blocks; two words in twenty damage at
+   a candidate for an item if SUPPORT of NEAR neighbouring blocks agree on an offset, give or take the shift
+   that added and dropped words cause. LEAST words hold at least 6 whole blocks; two words in twenty damage at
    most two of them, so no passage that counts is lost.
 4. Candidates are aligned exactly, word by word, and the longest passage within the tolerance decides.
 
@@ -14,9 +14,7 @@ The corpus side is only ever partitioned by document. The test side (300 items)
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,8 +25,8 @@ from granary.session import broadcast_checked, cut
 
 LEAST = 20  # words of a passage
 TOLERANCE = 0.1  # changed, dropped or added words per word of the passage, rounded to the nearest
-BLOCK, SUPPORT, SHIFT = 4, 2, 8
-WORD = re.compile(r"[^\W_]+")
+BLOCK, SUPPORT, NEAR, SHIFT = 3, 4, 8, 4
+STRIDE = 56  # blocks of an item that one mask of 64 bits holds besides the NEAR ones it shares with the next
 LATIN = "".join(chr(c) for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(c))) > 1)
 PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in LATIN)
 
@@ -39,11 +37,6 @@ def folded_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(plain), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def words(text: str | None) -> list[str]:
-    """The same for one text in Python."""
-    return WORD.findall("".join(c for c in unicodedata.normalize("NFD", text or "") if not unicodedata.combining(c)).lower()) if text and not text.isascii() else WORD.findall((text or "").lower())
-
-
 def postings(documents: DataFrame, items: DataFrame) -> DataFrame:
     """term, doc_id, pos of the training tokens that are terms of the test items."""
     terms = items.select(F.explode(folded_words(F.col("text"))).alias("term")).distinct()
@@ -61,12 +54,23 @@ def block_terms(items: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def candidates(index: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id, item_id where enough blocks of the item agree on an offset."""
-    hits = index.join(broadcast_checked(blocks, 200_000), "term")
+    """doc_id, item_id, band where enough neighbouring blocks of the item agree on an offset.
+
+    Hits become bits of a mask per document, item, band of offsets and stretch of the item, so that they
+    combine before the shuffle and a group is a number, whatever the length of its lists.
+    """
+    block = F.floor(F.col("at") / BLOCK).cast("int")
+    stretch = F.floor(block / STRIDE).cast("int")
+    parts = F.when((stretch > 0) & (block % STRIDE < NEAR), F.array(stretch, stretch - 1)).otherwise(F.array(stretch))
+    spread = blocks.select("term", "item_id", "at", block.alias("block"), F.explode(parts).alias("stretch"))
+    spread = spread.withColumn("bit", F.col("block") - F.col("stretch") * STRIDE)
+    hits = index.join(broadcast_checked(spread, 200_000), "term")
     band = F.floor((F.col("pos") - F.col("at")) / SHIFT).cast("int")
     bands = F.explode(F.array(band, band + 1)).alias("band")  # neighbours overlap by half
-    counts = hits.select("doc_id", "item_id", "at", bands).groupBy("doc_id", "item_id", "band").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    return counts.where("first < last").select("doc_id", "item_id").distinct()
+    mask = F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")
+    masks = hits.select("doc_id", "item_id", "stretch", "bit", bands).groupBy("doc_id", "item_id", "band", "stretch").agg(mask)
+    window = F.exists(F.sequence(F.lit(0), F.lit(63)), lambda k: F.bit_count(F.call_function("shiftrightunsigned", F.col("mask"), k).bitwiseAND(F.lit((1 << NEAR) - 1))) >= SUPPORT)
+    return masks.where(F.bit_count("mask") >= SUPPORT).where(window).select("doc_id", "item_id", "band").distinct()
 
 
 def passage(item: list[str], text: list[str], least: int = LEAST, tolerance: float = TOLERANCE) -> bool:
@@ -119,27 +123,19 @@ def dense(ats: list[int]) -> bool:
     return any(ats[k + need - 1] - ats[k] < LEAST for k in range(len(ats) - need + 1))
 
 
-def leaked(text: str | None, wanted: list[tuple[int, list[str]]]) -> list[int]:
-    """ids of the items of ``wanted`` that ``text`` leaks."""
-    tokens = words(text)
-    places: dict[str, list[int]] = defaultdict(list)
-    for at, word in enumerate(tokens):
-        places[word].append(at)
-    found = []
-    for item_id, item in wanted:
-        bands: dict[int, set[int]] = defaultdict(set)
-        for at, word in enumerate(item):
-            for where in places.get(word, ()):
-                band = (where - at) // SHIFT
-                bands[band].add(at)
-                bands[band + 1].add(at)
-        for band, ats in bands.items():
-            if dense(sorted(ats)):
-                low, high = min(ats), max(ats)
-                start = max(0, band * SHIFT + low - 3 * SHIFT - len(item) // 10)
-                if passage(item, tokens[start : band * SHIFT + high + 3 * SHIFT + len(item) // 10]):
-                    found.append(item_id)
-                    break
+def leaked(tokens: list[str], wanted: list[tuple[int, int]], items: dict[int, list[str]]) -> list[int]:
+    """ids of the items of ``wanted`` (item, band of offsets) that the words of a text leak."""
+    tokens = list(tokens)
+    found: list[int] = []
+    for item_id, band in wanted:
+        if item_id in found:
+            continue
+        item, low = items[item_id], (band - 1) * SHIFT  # a band holds its own offsets and those of the one before
+        ats = [at for at, word in enumerate(item) if at + low + 2 * SHIFT > 0 and word in tokens[max(0, at + low) : at + low + 2 * SHIFT]]
+        if dense(ats):
+            margin = 3 * SHIFT + len(item) // 10
+            if passage(item, tokens[max(0, low + ats[0] - margin) : low + ats[-1] + 2 * SHIFT + margin]):
+                found.append(item_id)
     return found
 
 
@@ -153,13 +149,13 @@ def found_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     items = items.select("item_id", "text").where("text is not null")
     index = cut(postings(documents, items))
     pairs = candidates(index, cut(block_terms(items, index)))
-    per_document = pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))  # 300 items at most
-    texts = {r["item_id"]: words(r["text"]) for r in items.collect()}  # the fixed test set
+    per_document = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("item_id", "band"))).alias("items"))  # one text against 300 items
+    texts = {r["item_id"]: list(r["w"]) for r in items.select("item_id", folded_words(F.col("text")).alias("w")).collect()}  # the fixed test set
 
     @F.pandas_udf("array<int>")
     def verify(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for docs, wanted in batches:
-            yield pd.Series([leaked(t, [(i, texts[i]) for i in sorted(w)]) for t, w in zip(docs, wanted, strict=True)], dtype=object)
+            yield pd.Series([leaked(t, [(w["item_id"], w["band"]) for w in ws], texts) for t, ws in zip(docs, wanted, strict=True)], dtype=object)
 
-    checked = per_document.join(documents, "doc_id").select("doc_id", F.explode(verify(F.col("text"), F.col("items"))).alias("item_id"))
+    checked = per_document.join(documents, "doc_id").select("doc_id", F.explode(verify(folded_words(F.col("text")), F.col("items"))).alias("item_id"))
     return checked.select("doc_id", F.col("item_id").cast("int").alias("item_id"))

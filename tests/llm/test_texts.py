@@ -91,6 +91,7 @@ def test_index_against_brute_force(spark):
 SENTENCES = [
     "Dr. Noxley uses approx. 59 g of orange, i.e. two spoons.|It works.",
     "Use only 2 tbsp.|It was salty.",
+    "Use only 2 tbsp.|pH below 4.6 is safe.|Ask Dr.Noxley.",
     "Mix 1.5 c. flour with 0.25 tsp. salt.|Done!",
     'She said, "Stop! It burns." and left.',
     'She said, "Stop! It burns."|He left.',

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import similarity
 from granary.operators.graph import clusters
+from granary.operators.skew import join_unique
+from granary.session import cut
 
 
 def first_of_equal(df: DataFrame, columns: list[str], key: str) -> DataFrame:
@@ -17,8 +19,8 @@ def first_of_equal(df: DataFrame, columns: list[str], key: str) -> DataFrame:
 def set_classes(df: DataFrame, key: str, values: Column) -> DataFrame:
     """member, class: rows with the same set of values share a class, named by its smallest key."""
     sets = df.select(F.col(key).alias("member"), F.xxhash64(F.array_sort(F.array_distinct(values))).alias("h"), F.md5(F.array_join(F.array_sort(F.array_distinct(values)), "\u0001")).alias("d"))
-    heads = sets.groupBy("h", "d").agg(F.min("member").alias("class"))
-    return sets.join(heads, ["h", "d"]).select("member", "class")
+    heads = cut(sets.groupBy("h", "d").agg(F.min("member").alias("class"), F.count("*").alias("rows")))
+    return join_unique(sets, heads, ["h", "d"], "rows", df.count()).select("member", "class")
 
 
 def similar_sets(df: DataFrame, key: str, values: Column, threshold: float) -> DataFrame:
@@ -88,7 +90,3 @@ def largest_cluster(members: DataFrame) -> DataFrame:
     top = members.select("cluster_id", "cluster_size").orderBy(F.desc("cluster_size"), "cluster_id").limit(1).select("cluster_id")
     return members.join(F.broadcast(top), "cluster_id", "left_semi")
 
-
-def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
-    """Surrogate ids from 0 in the given order (for files without one)."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)

@@ -100,6 +100,24 @@ def test_long_chain(spark):
     assert rows(graph.cluster_roots(chain, "a", "b")) == sorted([(k, 0) for k in range(61)], key=repr)
 
 
+def test_numbered(spark):
+    from granary.operators.numbering import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"))
+    assert [(r["x"], r["n"]) for r in sorted(numbered(df, "n", "x").collect())] == [(k, k) for k in range(1000)]
+    assert numbered(df.limit(0), "n", "x").count() == 0
+
+
+def test_hot_node(spark, monkeypatch):
+    from granary.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST", 5)
+    hub = spark.range(1, 200).select(F.lit(500).alias("a"), F.col("id").alias("b"))
+    assert rows(graph.cluster_roots(hub, "a", "b").select("root").distinct()) == [(1,)]
+    copies = spark.createDataFrame([(k, ["a", "b"]) for k in range(50)] + [(99, None)], "id long, v array<string>")
+    assert dedupe.set_classes(copies.where("id < 50"), "id", F.col("v")).where("class = 0").count() == 50
+
+
 def test_similar_sets_is_exact(spark):
     import random
 

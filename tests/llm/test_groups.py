@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import components, copies, leaves, skew, survivors
+from granary.llm import components, copies, leaves, survivors
+from granary.operators import skew
 from tests.conftest import rows
 
 

@@ -1,15 +1,16 @@
 """Evaluation passages inside training texts (problem 9): a distributed positional inverted index.
 
-1. Postings (term, document, position) of the training tokens that occur in any test item are stored.
+1. The positional index is sharded by document: one row per document holds the ids of its tokens that are
+   terms of any test item, with their positions, and is stored. Everything later reads the index alone.
 2. Terms are ranked by the number of documents that hold them. Each test item is cut into blocks of BLOCK
    words, and the rarest term of a block stands for it.
-3. The lists of those terms are intersected by offset (document position less item position): a document is
-   a candidate for an item if SUPPORT of NEAR neighbouring blocks agree on an offset, give or take the shift
-   that added and dropped words cause. LEAST words hold at least 6 whole blocks; two words in twenty damage at
-   most two of them, so no passage that counts is lost.
+3. The position lists of those terms are intersected by offset (document position less item position): a
+   document is a candidate for an item if SUPPORT of NEAR neighbouring blocks agree on an offset, give or take
+   the shift that added and dropped words cause. LEAST words hold at least 6 whole blocks; two words in twenty
+   damage at most two of them, so no passage that counts is lost.
 4. Candidates are aligned exactly, word by word, and the longest passage within the tolerance decides.
 
-The corpus side is only ever partitioned by document. The test side (300 items) is broadcast behind a count.
+Only the count of documents per term is shuffled. The test side (300 items) is collected: it is fixed and small.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.session import broadcast_checked, cut
+from granary.llm.bpe import looked_up, slotted
+from granary.session import cut
 
 LEAST = 20  # words of a passage
 TOLERANCE = 0.1  # changed, dropped or added words per word of the passage, rounded to the nearest
@@ -37,43 +40,76 @@ def folded_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(plain), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """term, doc_id, pos of the training tokens that are terms of the test items."""
-    terms = items.select(F.explode(folded_words(F.col("text"))).alias("term")).distinct()
-    tokens = documents.select("doc_id", F.posexplode(folded_words(F.col("text"))).alias("pos", "term"))
-    return tokens.join(broadcast_checked(terms, 200_000), "term").select("term", "doc_id", "pos")
-
-
-def block_terms(items: DataFrame, index: DataFrame) -> DataFrame:
-    """term, item_id, at: the rarest term of each block of each item (ties: the first)."""
-    rarity = index.groupBy("term").agg(F.count_distinct("doc_id").alias("documents"))
-    places = items.select("item_id", F.posexplode(folded_words(F.col("text"))).alias("at", "term"))
-    ranked = places.join(rarity, "term", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
-    block = Window.partitionBy("item_id", F.floor(F.col("at") / BLOCK)).orderBy("documents", "at")
-    return ranked.withColumn("n", F.row_number().over(block)).where("n = 1").select("term", "item_id", "at")
-
-
-def candidates(index: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id, item_id, band where enough neighbouring blocks of the item agree on an offset.
-
-    Hits become bits of a mask per document, item, band of offsets and stretch of the item, so that they
-    combine before the shuffle and a group is a number, whatever the length of its lists.
-    """
-    block = F.floor(F.col("at") / BLOCK).cast("int")
-    stretch = F.floor(block / STRIDE).cast("int")
-    parts = F.when((stretch > 0) & (block % STRIDE < NEAR), F.array(stretch, stretch - 1)).otherwise(F.array(stretch))
-    spread = blocks.select("term", "item_id", "at", block.alias("block"), F.explode(parts).alias("stretch"))
-    spread = spread.withColumn("bit", F.col("block") - F.col("stretch") * STRIDE)
-    hits = index.join(broadcast_checked(spread, 200_000), "term")
-    band = F.floor((F.col("pos") - F.col("at")) / SHIFT).cast("int")
-    bands = F.explode(F.array(band, band + 1)).alias("band")  # neighbours overlap by half
-    mask = F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")
-    masks = hits.select("doc_id", "item_id", "stretch", "bit", bands).groupBy("doc_id", "item_id", "band", "stretch").agg(mask)
-    window = F.exists(F.sequence(F.lit(0), F.lit(63)), lambda k: F.bit_count(F.call_function("shiftrightunsigned", F.col("mask"), k).bitwiseAND(F.lit((1 << NEAR) - 1))) >= SUPPORT)
-    return masks.where(F.bit_count("mask") >= SUPPORT).where(window).select("doc_id", "item_id", "band").distinct()
-
-
-def passage(item: list[str], text: list[str], least: int = LEAST, tolerance: float = TOLERANCE) -> bool:
+def terms_of(items: DataFrame) -> tuple[dict[int, list[int]], dict[str, int]]:
+    """Words of each item as term ids, and the ids. The test set is fixed: it is collected."""
+    texts = {r["item_id"]: list(r["w"]) for r in items.select("item_id", folded_words(F.col("text")).alias("w")).orderBy("item_id").collect()}
+    ids = {term: k for k, term in enumerate(sorted({w for words in texts.values() for w in words}))}
+    return {i: [ids[w] for w in words] for i, words in texts.items()}, ids
+
+
+def postings(documents: DataFrame, ids: dict[str, int]) -> DataFrame:
+    """doc_id, terms, places: ids and positions of the tokens that are terms of the test items."""
+    table = slotted(ids, "int")
+    tokens = F.transform(folded_words(F.col("text")), lambda w, k: F.struct(looked_up(table, w).alias("term"), k.alias("place")))
+    index = documents.select("doc_id", F.filter(tokens, lambda t: t["term"].isNotNull()).alias("t"))
+    return index.select("doc_id", F.col("t.term").alias("terms"), F.col("t.place").alias("places")).where(F.size("terms") >= SUPPORT)
+
+
+def block_terms(items: dict[int, list[int]], index: DataFrame) -> list[tuple[int, int, int]]:
+    """(term, item, place): the rarest term of each block of each item (ties: the first)."""
+    counts = index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    rarity = {r["term"]: r["n"] for r in counts.collect()}  # one row per term of the test set
+    chosen = []
+    for item, words in items.items():
+        for first in range(0, len(words), BLOCK):
+            at = min(range(first, min(first + BLOCK, len(words))), key=lambda k: (rarity.get(words[k], 0), k))
+            chosen.append((words[at], item, at))
+    return chosen
+
+
+class Blocks:
+    """Block terms as arrays, by term, with the bit of each block in the masks that it counts in."""
+
+    def __init__(self, chosen: list[tuple[int, int, int]], terms: int) -> None:
+        rows = []
+        for term, item, at in chosen:
+            block = at // BLOCK
+            stretch = block // STRIDE
+            rows.append((term, item, at, stretch, block - stretch * STRIDE))
+            if stretch and block % STRIDE < NEAR:
+                rows.append((term, item, at, stretch - 1, block - (stretch - 1) * STRIDE))
+        table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+        self.first = np.searchsorted(table[:, 0], np.arange(terms + 1))
+        self.item, self.at, self.stretch, self.bit = table[:, 1], table[:, 2], table[:, 3], table[:, 4]
+
+    def candidates(self, lists: list[tuple[np.ndarray, np.ndarray]]) -> dict[int, set[tuple[int, int]]]:
+        """(item, band of offsets) by number of document, where enough neighbouring blocks agree."""
+        if not lists:
+            return {}
+        document = np.repeat(np.arange(len(lists)), [len(t) for t, _ in lists])
+        term, place = (np.concatenate([x[k] for x in lists]).astype(np.int64) for k in (0, 1))
+        count = self.first[term + 1] - self.first[term]
+        hit = np.repeat(self.first[term] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        document, place = np.repeat(document, count), np.repeat(place, count)
+        band = (place - self.at[hit]) // SHIFT
+        # Neighbouring bands overlap by half.
+        group = np.stack([np.tile(x, 2) for x in (document, self.item[hit], self.stretch[hit])] + [np.concatenate((band, band + 1))])
+        bits = np.tile(np.uint64(1) << self.bit[hit].astype(np.uint64), 2)
+        order = np.lexsort(group[::-1])
+        group, bits = group[:, order], bits[order]
+        if not len(bits):
+            return {}
+        starts = np.flatnonzero(np.concatenate(([True], (group[:, 1:] != group[:, :-1]).any(axis=0))))
+        masks, found = np.bitwise_or.reduceat(bits, starts), {}
+        enough = np.bitwise_count(masks) >= SUPPORT
+        for at, mask in zip(starts[enough], masks[enough], strict=True):
+            if any((int(mask) >> k & ((1 << NEAR) - 1)).bit_count() >= SUPPORT for k in range(64)):
+                doc, item, _, near = group[:, at]
+                found.setdefault(int(doc), set()).add((int(item), int(near)))
+        return found
+
+
+def passage(item: list, text: list, least: int = LEAST, tolerance: float = TOLERANCE) -> bool:
     """Whether ``text`` holds a passage of ``item`` (words), by local alignment."""
     n, m = len(item), len(text)
     score = [[0] * (m + 1) for _ in range(n + 1)]
@@ -123,18 +159,19 @@ def dense(ats: list[int]) -> bool:
     return any(ats[k + need - 1] - ats[k] < LEAST for k in range(len(ats) - need + 1))
 
 
-def leaked(tokens: list[str], wanted: list[tuple[int, int]], items: dict[int, list[str]]) -> list[int]:
-    """ids of the items of ``wanted`` (item, band of offsets) that the words of a text leak."""
-    tokens = list(tokens)
-    found: list[int] = []
-    for item_id, band in wanted:
+def leaked(terms: np.ndarray, places: np.ndarray, wanted: set[tuple[int, int]], items: dict[int, list[int]]) -> list[int]:
+    """ids of the items of ``wanted`` (item, band of offsets) that a document leaks; other words are -1."""
+    tokens = np.full(int(places[-1]) + 1, -1, dtype=np.int64)
+    tokens[places] = terms
+    words, found = tokens.tolist(), []
+    for item_id, band in sorted(wanted):
         if item_id in found:
             continue
         item, low = items[item_id], (band - 1) * SHIFT  # a band holds its own offsets and those of the one before
-        ats = [at for at, word in enumerate(item) if at + low + 2 * SHIFT > 0 and word in tokens[max(0, at + low) : at + low + 2 * SHIFT]]
+        ats = [at for at, word in enumerate(item) if at + low + 2 * SHIFT > 0 and word in words[max(0, at + low) : at + low + 2 * SHIFT]]
         if dense(ats):
             margin = 3 * SHIFT + len(item) // 10
-            if passage(item, tokens[max(0, low + ats[0] - margin) : low + ats[-1] + 2 * SHIFT + margin]):
+            if passage(item, words[max(0, low + ats[0] - margin) : low + ats[-1] + 2 * SHIFT + margin]):
                 found.append(item_id)
     return found
 
@@ -143,19 +180,18 @@ def found_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of p9_found: doc_id, item_id.
 
     Null, empty and short texts leak nothing, nor do items of under 20 words. Repeated texts each count, an
-    item once per document. Long texts are read whole; the alignment only sees the part around an offset.
+    item once per document. Texts of any length are indexed whole; the alignment sees the part around an offset.
     """
-    documents = documents.select("doc_id", "text").where("text is not null")
-    items = items.select("item_id", "text").where("text is not null")
-    index = cut(postings(documents, items))
-    pairs = candidates(index, cut(block_terms(items, index)))
-    per_document = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("item_id", "band"))).alias("items"))  # one text against 300 items
-    texts = {r["item_id"]: list(r["w"]) for r in items.select("item_id", folded_words(F.col("text")).alias("w")).collect()}  # the fixed test set
+    texts, ids = terms_of(items.select("item_id", "text").where("text is not null"))
+    index = cut(postings(documents.select("doc_id", "text").where("text is not null"), ids))
+    blocks = Blocks(block_terms(texts, index), len(ids))
 
     @F.pandas_udf("array<int>")
     def verify(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for docs, wanted in batches:
-            yield pd.Series([leaked(t, [(w["item_id"], w["band"]) for w in ws], texts) for t, ws in zip(docs, wanted, strict=True)], dtype=object)
+        for terms, places in batches:
+            lists = list(zip(terms, places, strict=True))
+            wanted = blocks.candidates(lists)
+            yield pd.Series([leaked(*x, wanted[k], texts) if k in wanted else [] for k, x in enumerate(lists)], dtype=object)
 
-    checked = per_document.join(documents, "doc_id").select("doc_id", F.explode(verify(folded_words(F.col("text")), F.col("items"))).alias("item_id"))
-    return checked.select("doc_id", F.col("item_id").cast("int").alias("item_id"))
+    found = index.select("doc_id", F.explode(verify(F.col("terms"), F.col("places"))).alias("item_id"))
+    return found.select("doc_id", F.col("item_id").cast("int").alias("item_id"))

@@ -261,3 +261,19 @@ def test_profile(spark):
 def test_entry_without_llm():
     code = "import sys; sys.modules['granary.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p3_found' in q and 'p1_found' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env=os.environ)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from granary import cli
+
+    cli.main(["infer", "--out", str(tmp_path / "s.json")])
+    assert len(json.loads((tmp_path / "s.json").read_text())["inferred_joins"]) == 25
+    (tmp_path / "o.json").write_text('{"_id": {"$oid": "a"}, "name": "n"}\n{"_id": "a"}\n')
+    (tmp_path / "n.csv").write_text('i,title,ingredients,directions,link,source,NER\n0,T,"[""a""]","[""b""]",l,s,\n')
+    for _ in range(2):
+        cli.main(["recipes", "--open", str(tmp_path / "o.json"), "--nlg", str(tmp_path / "n.csv"), "--target", str(tmp_path / "t")])
+    assert spark.read.parquet(str(tmp_path / "t/open_recipe")).count() == 1
+    assert rows(spark.read.parquet(str(tmp_path / "t/recipe_nlg")), "id", "ner") == [(0, "[]")]
+    (tmp_path / "d.csv").write_text('g,n,d,s,b,u\nMilk,Whey,0.5,,7,true\n')
+    cli.main(["density", "--csv", str(tmp_path / "d.csv"), "--target", str(tmp_path / "t")])
+    assert rows(spark.read.parquet(str(tmp_path / "t/food_density")), "food_name", "updated_version_2") == [("Whey", True)]

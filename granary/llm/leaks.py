@@ -159,6 +159,19 @@ def dense(ats: list[int]) -> bool:
     return any(ats[k + need - 1] - ats[k] < LEAST for k in range(len(ats) - need + 1))
 
 
+def chunks(lists: list[tuple[np.ndarray, np.ndarray]], most: int = 50_000) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """Runs of documents of at most ``most`` postings together, so that long texts do not add up in memory."""
+    chunk, size = [], 0
+    for one in lists:
+        if chunk and size + len(one[0]) > most:
+            yield chunk
+            chunk, size = [], 0
+        chunk.append(one)
+        size += len(one[0])
+    if chunk:
+        yield chunk
+
+
 def leaked(terms: np.ndarray, places: np.ndarray, wanted: set[tuple[int, int]], items: dict[int, list[int]]) -> list[int]:
     """ids of the items of ``wanted`` (item, band of offsets) that a document leaks; other words are -1."""
     tokens = np.full(int(places[-1]) + 1, -1, dtype=np.int64)
@@ -190,8 +203,11 @@ def found_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     def verify(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for terms, places in batches:
             lists = list(zip(terms, places, strict=True))
-            wanted = blocks.candidates(lists)
-            yield pd.Series([leaked(*x, wanted[k], texts) if k in wanted else [] for k, x in enumerate(lists)], dtype=object)
+            leaks: list[list[int]] = []
+            for chunk in chunks(lists):
+                wanted = blocks.candidates(chunk)
+                leaks += [leaked(*x, wanted[k], texts) if k in wanted else [] for k, x in enumerate(chunk)]
+            yield pd.Series(leaks, dtype=object)
 
     found = index.select("doc_id", F.explode(verify(F.col("terms"), F.col("places"))).alias("item_id"))
     return found.select("doc_id", F.col("item_id").cast("int").alias("item_id"))

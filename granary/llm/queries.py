@@ -41,4 +41,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p5_votes, p8_ids, p9_found, p10_found)}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p2_found": """WITH RECURSIVE e AS (SELECT recipe_id AS a, match_id AS b FROM duplicate_likert_labels WHERE likert_label IN (4, 5) AND recipe_id <> match_id),
+  l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, other) AS (SELECT a, a FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a)
+  SELECT id AS recipe_id, min(other) AS group_id FROM r GROUP BY id""",
+}

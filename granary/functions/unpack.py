@@ -196,5 +196,11 @@ def listed(column: Column, slashes: bool = False) -> Column:
     return F.when(read, F.filter(clean, lambda v: v != "")).otherwise(unpacked(F.when(~F.coalesce(read, F.lit(False)), column), slashes))
 
 
+def read_list(column: Column) -> Column:
+    """The entries of plain JSON as they stand, blank ones too; of any other packing the values of ``unpack``."""
+    plain = F.when(is_json_list(column), F.from_json(column, "array<string>"))
+    return F.coalesce(plain, unpacked(F.when(plain.isNull(), column)))
+
+
 #: The characters Python's str.split() takes for whitespace, as a Java pattern.
 WHITESPACE_RUN = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"

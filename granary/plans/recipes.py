@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import similarity, text
-from granary.functions.unpack import is_json_list
+from granary.functions.unpack import read_list
 from granary.operators import dedupe, profile, review
 from granary.session import table
 
@@ -19,9 +19,8 @@ def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recipes whose ingredients are plain JSON lists, with the list and its cleaned form."""
-    rows = recipes(spark, sf_dir).where(is_json_list(F.col("ingredients")))
-    rows = rows.withColumn("parsed", F.from_json("ingredients", "array<string>")).where("parsed is not null")
+    """Every recipe with the list of its ingredients, whatever their packing, and its cleaned form. No ingredients give an empty list."""
+    rows = recipes(spark, sf_dir).withColumn("parsed", read_list(F.col("ingredients")))
     return rows.withColumn("ingredients_clean", text.clean_ingredients(F.col("parsed")))
 
 

@@ -110,43 +110,32 @@ class Blocks:
 
 
 def passage(item: list, text: list, least: int = LEAST, tolerance: float = TOLERANCE) -> bool:
-    """Whether ``text`` holds a passage of ``item`` (words), by local alignment."""
+    """Whether ``text`` holds a passage of ``item`` (words): a stretch of at least ``least`` words of the item that
+    begins and ends with equal words, with at most ``tolerance`` edits per word, rounded to the nearest.
+
+    Exact over all alignments: ``best[k][j]`` is the most that the tolerated edits can exceed those made, over all
+    stretches of k words (``least`` stands for all longer ones too) that end before word i of the item and j of the text.
+    """
     n, m = len(item), len(text)
-    score = [[0] * (m + 1) for _ in range(n + 1)]
-    starts = []
-    for i in range(1, n + 1):
-        word, row, above = item[i - 1], score[i], score[i - 1]
-        for j in range(1, m + 1):
-            s = above[j - 1] + (2 if word == text[j - 1] else -3)
-            if above[j] - 3 > s:
-                s = above[j] - 3
-            if row[j - 1] - 3 > s:
-                s = row[j - 1] - 3
-            row[j] = s if s > 0 else 0
-        top = max(row)
-        if top >= 2 * least - 5 * (int(tolerance * least) + 1):
-            starts.append((top, i, row.index(top)))
-    for _, i, j in sorted(starts, reverse=True)[:8]:
-        path = []
-        while score[i][j] > 0:
-            same = item[i - 1] == text[j - 1]
-            if score[i][j] == score[i - 1][j - 1] + (2 if same else -3):
-                path.append((1, 0 if same else 1))
-                i, j = i - 1, j - 1
-            elif score[i][j] == score[i - 1][j] - 3:
-                path.append((1, 1))
-                i -= 1
-            else:
-                path.append((0, 1))
-                j -= 1
-        for first in range(len(path)):
-            length = edits = 0
-            if path[first] != (1, 0):
-                continue
-            for step in path[first:]:
-                length, edits = length + step[0], edits + step[1]
-                if length >= least and edits <= tolerance * length + 0.5:
-                    return True
+    places: dict = {}
+    for j, word in enumerate(text, 1):
+        places.setdefault(word, []).append(j)
+    columns = np.arange(m + 1)
+    best = np.full((least + 1, m + 1), -np.inf)
+    for word in item:
+        longer = np.full((least + 1, m + 1), -np.inf)
+        longer[1:] = best[:-1]
+        np.maximum(longer[least], best[least], out=longer[least])
+        longer += tolerance
+        row = longer - 1  # the item's word dropped, or changed
+        np.maximum(row[:, 1:], longer[:, :-1] - 1, out=row[:, 1:])
+        if word in places:
+            at = np.array(places[word])
+            row[:, at] = np.maximum(row[:, at], longer[:, at - 1])
+            row[1, at] = np.maximum(row[1, at], tolerance)  # a stretch begins
+            if (longer[least, at - 1] > -0.5 - 1e-9).any():
+                return True
+        best = np.maximum.accumulate(row + columns, axis=1) - columns  # words added
     return False
 
 

@@ -63,7 +63,7 @@ def parse_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw text where it is JSON, ``[]`` for empty, and a mark for the rest (the strict scan raises on it)."""
     raw = F.col("ner")
-    valid = F.when(F.coalesce(raw, F.lit("")) == "", F.lit("[]")).when(is_json_list(raw) & F.from_json(raw, "array<string>").isNotNull(), raw)
+    valid = F.when(F.coalesce(raw, F.lit("")) == "", F.lit("[]")).when(F.try_parse_json(raw).isNotNull(), raw)
     return recipes(spark, sf_dir).select("id", F.coalesce(valid, F.lit("invalid")).alias("ner"))
 
 

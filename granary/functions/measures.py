@@ -175,9 +175,14 @@ DENSITY = re.compile(rf"(?:(?:about|approx\.?|approximately|around|ca\.?|circa|[
 CUBES = {"m3": Fraction(10**6), "ft3": None, "cuft": None, "cm3": Fraction(1), "ccm": Fraction(1), "dm3": Fraction(1000)}
 
 
+def density_unit(text: str) -> str:
+    """The name of a density's unit as it is looked up; empty for a bare number."""
+    return fold(text).strip().rstrip(".").replace("³", "3").replace("^", "")
+
+
 def density_factor(text: str) -> Fraction | None:
     """What one of the unit is in g/ml; a bare number is g/ml."""
-    name = fold(text).strip().rstrip(".").replace("³", "3").replace("^", "")
+    name = density_unit(text)
     if not name:
         return Fraction(1)
     halves = re.split(r"\s*/\s*|\s+per\s+", name)
@@ -208,3 +213,11 @@ def density(text: str | None) -> tuple[str, int, int] | None:
         return None
     low, high = (Fraction(x.replace(",", ".")) * factor for x in (said[0], said[1] or said[0]))
     return "density", nearest(min(low, high)), nearest(max(low, high))
+
+
+def bare_density(text: str | None) -> float | None:
+    """The number of a density that is stated without any unit; the middle of a range."""
+    said = stated_density(text)
+    if said is None or density_unit(said[2]):
+        return None
+    return sum(float(x.replace(",", ".")) for x in (said[0], said[1] or said[0])) / 2

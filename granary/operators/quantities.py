@@ -101,6 +101,11 @@ def assign_units(df: DataFrame, number: str, fitted: dict, offsets: dict[str, fl
 
 
 def bare_densities(density: DataFrame) -> DataFrame:
-    """record_id, number of the densities that are stated without any unit."""
-    text = F.regexp_replace(F.trim("density_g_per_ml"), ",", ".")
-    return density.where(text.rlike(r"^\d+(\.\d+)?$")).select(F.col("id").alias("record_id"), text.cast("double").alias("number"))
+    """record_id, number of the densities that are stated without any unit, in whatever form ``p6_found`` reads them."""
+    @F.pandas_udf("double")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([measures.bare_density(t) for t in batch], dtype="float64")
+
+    rows = density.select(F.col("id").alias("record_id"), run(F.col("density_g_per_ml")).alias("number"))
+    return rows.where("number is not null")

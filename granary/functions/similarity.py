@@ -29,13 +29,16 @@ def hybrid_score(semantic: Column, ingredients: Column, title: Column) -> Column
 
 
 def common(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence: a row of the table is the bits of one integer."""
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    every = (1 << len(a)) - 1
+    row = every
+    for y in b:
+        met = row & places.get(y, 0)
+        row = ((row + met) | (row - met)) & every
+    return len(a) - row.bit_count()
 
 
 def indel(a: str, b: str) -> float:
@@ -104,11 +107,3 @@ def fuzzy_ratio(a: Column, b: Column) -> Column:
         return pd.Series([100 * weighted(x, y) for x, y in zip(one, two, strict=True)], dtype="float64")
 
     return run(a, b)
-
-
-def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
-    """Deterministic offline embedder: hashed word counts of length 1. A model plugs in in its place."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    return l2_normalized(counts)

@@ -48,3 +48,10 @@ def clean_ingredients(values: Column) -> Column:
 def semantic_text(title_clean: Column, ingredients_clean: Column) -> Column:
     """Title and sorted ingredients in one text; repeats and empty phrases stay."""
     return F.concat(title_clean, F.lit(" | "), F.array_join(F.array_sort(ingredients_clean), " "))
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; null is not. Spark's own parser stops behind the first value, so the text
+    is parsed as the first of two entries of a list, which must then hold two."""
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(", 0]")))
+    return F.coalesce(F.size(F.try_variant_get(both, "$", "array<variant>")) == 2, F.lit(False))

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import similarity
-from granary.operators.graph import clusters
-from granary.operators.skew import join_unique
+from granary.operators.skew import fetched, join_unique, self_join
 from granary.session import cut
 
 
@@ -28,23 +27,30 @@ def similar_sets(df: DataFrame, key: str, values: Column, threshold: float) -> D
     ``threshold`` (above 0). Copies are classes of ``set_classes``, so no group of copies is paired out.
 
     Values are ordered by rarity; similar sets share one of their first |x| - ceil(t |x|) + 1 values, so the
-    frequent ones are never joined on. Exact: sets are compared whole afterwards. Empty sets have no pair.
+    frequent ones are never joined on. Hashes of the values are joined, a pair is met at the first value that both share, hot values
+    are split; the sets themselves are fetched for the pairs that are left and compared whole. Empty sets have no pair.
     """
-    sets = df.select(F.col(key).alias("id"), F.array_distinct(values).alias("values")).where(F.size("values") > 0)
-    sets = sets.groupBy(F.array_sort("values").alias("values")).agg(F.min("id").alias("id"))
+    sets = df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(values)).alias("values")).where("size(values) > 0")
+    sets = cut(sets.groupBy("values").agg(F.min("id").alias("id")))
     long = sets.select("id", F.size("values").alias("n"), F.explode("values").alias("value"))
-    rarity = long.groupBy("value").agg(F.count("*").alias("df"))
-    ordered = long.join(rarity, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("o"))  # one set's values
-    ordered = ordered.select("id", "n", F.transform("o", lambda v: v["value"]).alias("values"))
+    rarity = cut(long.groupBy("value").agg(F.count("*").alias("df")))
+    ranked = join_unique(long, rarity, ["value"], "df", long.count())
+    ordered = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("o"))  # one set's values
+    ordered = ordered.select("id", "n", F.transform("o", lambda v: F.xxhash64(v["value"])).alias("hashes"))
     size = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    heads = ordered.select("id", "n", "values", F.posexplode(F.slice("values", F.lit(1), size.cast("int"))).alias("at", "value"))
-    x, y = heads.alias("x"), heads.alias("y")
+    heads = cut(ordered.select("id", "n", "hashes", F.posexplode(F.slice("hashes", F.lit(1), size.cast("int"))).alias("at", "value")))
+    left, right, on = self_join(heads, ["value"])
+    x, y = left.alias("x"), right.alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(threshold / (1 + threshold)) - 1e-9)
     fits = (F.col("x.n") >= F.col("y.n") * threshold) & (F.col("y.n") >= F.col("x.n") * threshold)
     ahead = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need
-    met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")) & fits & ahead)
-    scored = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), similarity.jaccard(F.col("x.values"), F.col("y.values")).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= threshold).distinct()
+    before = lambda s: F.slice(f"{s}.hashes", F.lit(1), F.col(f"{s}.at"))
+    met = x.join(y, [*[F.col(f"x.{c}") == F.col(f"y.{c}") for c in on], F.col("x.id") < F.col("y.id"), fits, ahead, ~F.arrays_overlap(before("x"), before("y"))])
+    pairs = cut(met.where(F.size(F.array_intersect("x.hashes", "y.hashes")) >= need).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    total = pairs.count()
+    both = fetched(fetched(pairs, sets, "a", ["values"], total), sets, "b", ["values"], total)
+    scored = both.select("a", "b", similarity.jaccard(F.col("values_a"), F.col("values_b")).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= threshold)
 
 
 def unmirrored(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
@@ -73,13 +79,6 @@ def flagged(recipes: DataFrame, key: str, members: DataFrame, kept: DataFrame) -
     )
 
 
-def similar_clusters(df: DataFrame, key: str, values: Column, threshold: float) -> DataFrame:
-    """Clusters over similar sets, copies included: cluster_id, recipe_id, cluster_size."""
-    pairs = similar_sets(df, key, values, threshold).select("a", "b")
-    copies = set_classes(df.where(F.size(values) > 0), key, values).where("member <> class").select(F.col("class").alias("a"), F.col("member").alias("b"))
-    return clusters(pairs.unionByName(copies), "a", "b")
-
-
 def size_histogram(members: DataFrame, most: int = 20) -> DataFrame:
     """cluster_size, n_members of the smallest sizes (member rows are counted, not clusters)."""
     return members.groupBy("cluster_size").agg(F.count("*").alias("n_members")).orderBy("cluster_size").limit(most)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from granary.functions import similarity, text
 from granary.functions.unpack import read_list
-from granary.operators import dedupe, profile, review
-from granary.session import table
+from granary.operators import dedupe, hybrid, profile, review
+from granary.session import cut, spread, table
 
 THRESHOLD = 0.5
 SEED = 42
@@ -20,8 +20,9 @@ def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every recipe with the list of its ingredients, whatever their packing, and its cleaned form. No ingredients give an empty list."""
-    rows = recipes(spark, sf_dir).withColumn("parsed", read_list(F.col("ingredients")))
-    return rows.withColumn("ingredients_clean", text.clean_ingredients(F.col("parsed")))
+    rows = spread(recipes(spark, sf_dir)).withColumn("parsed", read_list(F.col("ingredients")))
+    # The generator evaluates the cleaning once, however often the column is used.
+    return rows.select("*", F.explode(F.array(text.clean_ingredients(F.col("parsed")))).alias("ingredients_clean"))
 
 
 def dedupe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def parse_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw text where it is JSON, ``[]`` for empty, and a mark for the rest (the strict scan raises on it)."""
     raw = F.col("ner")
-    valid = F.when(F.coalesce(raw, F.lit("")) == "", F.lit("[]")).when(F.try_parse_json(raw).isNotNull(), raw)
+    valid = F.when(F.coalesce(raw, F.lit("")) == "", F.lit("[]")).when(text.is_json(raw), raw)
     return recipes(spark, sf_dir).select("id", F.coalesce(valid, F.lit("invalid")).alias("ner"))
 
 
@@ -80,8 +81,28 @@ def set_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.set_classes(parsed(spark, sf_dir), "id", _sets()).select("member", "class")
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recipe, unpacked and cleaned once and stored: later stages read those rows."""
+    measures = {"ingredient_count": F.size("ingredients_clean"), "directions_length": F.char_length(text.normalize_text(F.col("directions")))}
+    return cut(hybrid.text_records(parsed(spark, sf_dir), "id", text.normalize_text(F.col("title")), F.col("ingredients_clean"), measures))
+
+
+def hybrid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all pairs of different recipes whose texts are at least 0.95 similar; recipe_classes has the copies."""
+    scored = hybrid.scored_pairs(hybrid.classes(_records(spark, sf_dir))[0])
+    return scored.select("recipe_id", "match_id", *[F.round(c, 9).alias(c) for c in ("semantic_score", "ingredient_jaccard", "title_similarity", "hybrid_score")])
+
+
+def hybrid_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid.validated(hybrid.scored_pairs(hybrid.classes(_records(spark, sf_dir))[0])).select("recipe_id", "match_id")
+
+
+def recipe_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid.classes(_records(spark, sf_dir))[1].select("member", "class")
+
+
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.similar_clusters(parsed(spark, sf_dir), "id", _sets(), THRESHOLD)
+    return hybrid.duplicate_clusters(_records(spark, sf_dir))
 
 
 def cluster_size_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,18 +113,19 @@ def largest_cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.largest_cluster(clusters(spark, sf_dir))
 
 
-def _measures(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("id").alias("recipe_id"), F.size("ingredients_clean").alias("ingredient_count"), F.char_length("directions").alias("directions_length"))
+def _survivors(records: DataFrame, members: DataFrame) -> DataFrame:
+    return dedupe.survivors(members, records.select(F.col("id").alias("recipe_id"), "ingredient_count", "directions_length"))
 
 
 def survivor_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.survivors(clusters(spark, sf_dir), _measures(parsed(spark, sf_dir)))
+    records = _records(spark, sf_dir)
+    return _survivors(records, hybrid.duplicate_clusters(records))
 
 
 def survivor_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parsed(spark, sf_dir)
-    members = clusters(spark, sf_dir)
-    return dedupe.flagged(rows.select("id"), "id", members, dedupe.survivors(members, _measures(rows)))
+    records = _records(spark, sf_dir)
+    members = cut(hybrid.duplicate_clusters(records))
+    return dedupe.flagged(records.select("id"), "id", members, _survivors(records, members))
 
 
 def trimmed_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +193,7 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dedupe_exact, dedupe_shape, normalize_text, simple_clean, clean_ingredient, clean_ingredient_list, semantic_text, parse_list, json_validate, jaccard_pairs, set_classes,
+        dedupe_exact, dedupe_shape, normalize_text, simple_clean, hybrid_pairs, hybrid_validated, recipe_classes, clean_ingredient, clean_ingredient_list, semantic_text, parse_list, json_validate, jaccard_pairs, set_classes,
         clusters, cluster_size_hist, largest_cluster_members, survivor_top1, survivor_flags, trimmed_dataset, unique_phrases, dropna_any, pair_hydrate, hybrid_score, validated_pairs,
         mirror_removal, unlabeled_queue, append_label, title_similarity, seeded_sample, review_queue,
     )
@@ -191,19 +213,63 @@ def cleaned_sql(value: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({steps}, '[^a-z\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-PARSED = """parsed AS (SELECT id, title, directions, from_json(ingredients, '["VARCHAR"]') AS vs FROM recipe_nlg WHERE starts_with(ingredients, '["') AND json_valid(ingredients))"""
+def fields_sql(delimiters: str) -> str:
+    """Fields of ``b`` between delimiters outside quotes, each with what delimits it."""
+    return rf"""regexp_extract_all(b, '\s*"(?:[^"]|"")*"\s*(?:[{delimiters}]|$)|[^{delimiters}]*(?:[{delimiters}]|$)')"""
+
+
+# Packed lists in SQL: plain JSON as it stands; JSON in a JSON text; list literals; else fields outside quotes, between the strong
+# delimiters if there are any and else between commas, without bullets or running numbers that all of them carry.
+BULLET_SQL, NUMBER_SQL = r"^\s*[-–—*•▪◦‣·]\s+", r"^\s*\(?(\d{1,3})(?:[.):]|\s-)\s+"
+PARSED = rf"""texts AS (SELECT id, title, directions, ingredients, regexp_replace(ingredients, '^{BLANK_SQL}+|{BLANK_SQL}+$', '', 'g') AS t FROM recipe_nlg),
+  opened AS (SELECT * EXCLUDE t, starts_with(ingredients, '["') AND json_valid(ingredients) AS plain, CASE WHEN starts_with(t, '"[') AND ends_with(t, ']"') AND json_valid(t) THEN json_extract_string(t, '$') ELSE t END AS b FROM texts),
+  cut AS (SELECT *, coalesce(starts_with(b, '['), false) AS literal, CASE WHEN starts_with(b, '[') THEN regexp_extract_all(b, '''(?:[^''\\]|\\.)*''|"(?:[^"\\]|\\.)*"')
+    WHEN regexp_matches(regexp_replace(b, '"(?:[^"]|"")*"', '', 'g'), '[\n\t;|·]') THEN list_transform({fields_sql(r'\n\t;|·')}, lambda v: regexp_replace(v, '[\n\t;|·]$', ''))
+    ELSE list_transform({fields_sql(',')}, lambda v: regexp_replace(v, ',$', '')) END AS raw FROM opened),
+  bare AS (SELECT *, list_filter(list_transform(raw, lambda v: CASE WHEN literal THEN regexp_replace(v[2:-2], '\\(.)', '\1', 'g') WHEN regexp_matches(v, '^\s*"(?:[^"]|"")*"\s*$') THEN replace(regexp_replace(v, '^\s+|\s+$', '', 'g')[2:-2], '""', '"') ELSE v END),
+    lambda v: regexp_matches(v, '[^\s\p{{Z}}]')) AS f FROM cut),
+  marked AS (SELECT *, len(f) > 0 AND NOT literal AND len(list_filter(f, lambda v: regexp_matches(v, '{BULLET_SQL}'))) = len(f) AS bullets,
+    len(f) > 0 AND NOT literal AND list_transform(f, lambda v: regexp_extract(v, '{NUMBER_SQL}', 1)) = list_transform(range(1, len(f) + 1), lambda k: k::VARCHAR) AS numbers FROM bare),
+  parsed AS MATERIALIZED (SELECT id, title, directions, CASE WHEN plain THEN from_json(ingredients, '["VARCHAR"]') ELSE list_filter(list_transform(coalesce(f, []), lambda v: trim(regexp_replace(CASE WHEN bullets THEN regexp_replace(v, '{BULLET_SQL}', '')
+    WHEN numbers THEN regexp_replace(v, '{NUMBER_SQL}', '') ELSE v END, '{BLANK_SQL}+', ' ', 'g'))), lambda v: v <> '') END AS vs FROM marked)"""
 CLEANED = f"{PARSED}, cleaned AS (SELECT id, title, directions, list_transform(vs, lambda v: {cleaned_sql('v')}) AS c FROM parsed)"
 NORMAL = lambda c: rf"coalesce(regexp_replace(lower({c}), '^{BLANK_SQL}+|{BLANK_SQL}+$', '', 'g'), '')"
 SETS = f"{CLEANED}, sets AS (SELECT min(id) AS id, s FROM (SELECT id, list_sort(list_distinct(c)) AS s FROM cleaned WHERE len(c) > 0) GROUP BY s)"
 PAIRS = f"""{SETS}, pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS j FROM sets a JOIN sets b ON a.id < b.id
   AND len(a.s) >= 0.5 * len(b.s) AND len(b.s) >= 0.5 * len(a.s) WHERE list_has_any(a.s, b.s))"""
-CLUSTERS = f"""{PAIRS}, edges AS (SELECT a, b FROM pairs WHERE j >= 0.5 UNION SELECT s.id, c.id FROM cleaned c JOIN sets s ON list_sort(list_distinct(c.c)) = s.s WHERE s.id <> c.id),
+
+
+def common_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence: rows of the table folded one from the other."""
+    cell = f"greatest(above[j[1] + 1], done[-1], above[j[1]] + (unicode({b}[j[1]]) = x[1])::BIGINT)"
+    row = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda k: [k]), lambda done, j: list_append(done, {cell}), [0::BIGINT])"
+    return f"list_reduce(list_transform(range(1, length({a}) + 1), lambda k: [unicode({a}[k])::BIGINT]), lambda above, x: {row}, list_transform(range(0, length({b}) + 1), lambda k: 0::BIGINT))[-1]"
+
+
+def titled_sql(source: str, columns: str) -> str:
+    """``titled``: ``columns`` of ``source`` and title_similarity of its title_a and title_b (cleaned)."""
+    return f"""word_sets AS (SELECT {columns}, list_distinct(regexp_extract_all(title_a, '[^{BLANK_SQL[1:]}+')) AS u, list_distinct(regexp_extract_all(title_b, '[^{BLANK_SQL[1:]}+')) AS v FROM {source}),
+  word_parts AS (SELECT *, array_to_string(list_sort(list_intersect(u, v)), ' ') AS s, array_to_string(list_sort(list_filter(u, lambda w: NOT list_contains(v, w))), ' ') AS l, array_to_string(list_sort(list_filter(v, lambda w: NOT list_contains(u, w))), ' ') AS r FROM word_sets),
+  word_texts AS (SELECT *, trim(s || ' ' || l) AS p, trim(s || ' ' || r) AS q FROM word_parts),
+  titled AS (SELECT {columns}, CASE WHEN len(u) = 0 OR len(v) = 0 THEN 0.0::DOUBLE WHEN s <> '' AND (l = '' OR r = '') THEN 1.0::DOUBLE ELSE greatest(2 * {common_sql('p', 'q')} / (length(p) + length(q)),
+    CASE WHEN s <> '' THEN 2 * length(s) / (length(s) + length(p)) END, CASE WHEN s <> '' THEN 2 * length(s) / (length(s) + length(q)) END) END AS title_similarity FROM word_texts)"""
+
+
+WORDS_SQL = r"list_distinct(regexp_extract_all(t || ' ' || array_to_string(p, ' '), '[\p{L}\p{N}]+'))"
+RECORDS = f"""{CLEANED}, records AS MATERIALIZED (SELECT id, t, p, {WORDS_SQL} AS w, n, d, min(id) OVER (PARTITION BY t, p) AS "class" FROM (SELECT id, {NORMAL('title')} AS t, list_sort(list_distinct(c)) AS p, len(c) AS n, length({NORMAL('directions')}) AS d FROM cleaned)),
+  heads AS (SELECT * FROM records WHERE id = "class")"""
+HYBRID = f"""{RECORDS}, long AS (SELECT id, unnest(w) AS v FROM heads), near AS MATERIALIZED (SELECT x.id AS a, y.id AS b, count(*) AS m FROM long x JOIN long y ON x.v = y.v AND x.id < y.id GROUP BY 1, 2),
+  semantic AS (SELECT a, b, m / sqrt(len(x.w) * len(y.w)) AS cos, CASE WHEN len(x.p) = 0 OR len(y.p) = 0 THEN 0.0 ELSE len(list_intersect(x.p, y.p))::DOUBLE / len(list_distinct(list_concat(x.p, y.p))) END AS j, x.t AS title_a, y.t AS title_b
+    FROM near JOIN heads x ON x.id = a JOIN heads y ON y.id = b WHERE m / sqrt(len(x.w) * len(y.w)) >= 0.95::DOUBLE - 1e-12::DOUBLE),
+  {titled_sql('semantic', 'a, b, cos, j')}, hybrid AS (SELECT a, b, cos, j, title_similarity AS i, 0.50::DOUBLE * cos + 0.35::DOUBLE * j + 0.15::DOUBLE * title_similarity AS h FROM titled),
+  valid AS MATERIALIZED (SELECT a, b FROM hybrid WHERE cos >= 0.95::DOUBLE - 1e-12::DOUBLE AND j >= 0.5::DOUBLE AND h >= 0.75::DOUBLE - 1e-12::DOUBLE)"""
+CLUSTERS = f"""{HYBRID}, edges AS (SELECT a, b FROM valid UNION SELECT "class", id FROM records WHERE id <> "class" AND len(p) > 0 AND len(w) > 0),
   links AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
   reach(id, other) AS (SELECT a, a FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
   roots AS (SELECT id, min(other) AS root FROM reach GROUP BY id),
-  clusters AS (SELECT dense_rank() OVER (ORDER BY root) - 1 AS cluster_id, id AS recipe_id, count(*) OVER (PARTITION BY root) AS cluster_size FROM roots)"""
+  clusters AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY root) - 1 AS cluster_id, id AS recipe_id, count(*) OVER (PARTITION BY root) AS cluster_size FROM roots)"""
 SURVIVORS = f"""{CLUSTERS}, kept AS (SELECT cluster_id, recipe_id FROM (SELECT k.cluster_id, k.recipe_id, row_number() OVER (PARTITION BY k.cluster_id
-  ORDER BY len(c.c) DESC, length(c.directions) DESC, k.recipe_id) AS n FROM clusters k JOIN cleaned c ON c.id = k.recipe_id) WHERE n = 1)"""
+  ORDER BY c.n DESC, c.d DESC, k.recipe_id) AS n FROM clusters k JOIN records c ON c.id = k.recipe_id) WHERE n = 1)"""
 FLAGS = f"""{SURVIVORS}, flags AS (SELECT c.id, k.cluster_id AS hybrid_cluster_id, k.cluster_id IS NOT NULL AS is_hybrid_duplicate_candidate,
   k.cluster_id IS NULL OR s.recipe_id IS NOT NULL AS keep_hybrid_representative FROM cleaned c LEFT JOIN clusters k ON k.recipe_id = c.id LEFT JOIN kept s ON s.recipe_id = c.id)"""
 QUEUE = "queue AS (SELECT DISTINCT recipe_id, match_id FROM duplicate_likert_labels l WHERE likert_label IS NULL AND NOT EXISTS (SELECT 1 FROM duplicate_likert_labels d WHERE d.likert_label IS NOT NULL AND d.recipe_id = l.recipe_id AND d.match_id = l.match_id))"
@@ -217,9 +283,14 @@ ORACLES = {
     "clean_ingredient_list": f"WITH {CLEANED} SELECT id, array_to_string(c, '|') AS ingredients_clean, len(c) AS n FROM cleaned",
     "semantic_text": f"WITH {CLEANED} SELECT id, {NORMAL('title')} || ' | ' || array_to_string(list_sort(c), ' ') AS semantic_text FROM cleaned",
     "parse_list": f"WITH {PARSED} SELECT id, len(vs) AS n, array_to_string(vs, '|') AS joined FROM parsed",
-    "json_validate": """SELECT id, CASE WHEN coalesce(ner, '') = '' THEN '[]' WHEN starts_with(ner, '["') AND json_valid(ner) THEN ner ELSE 'invalid' END AS ner FROM recipe_nlg""",
+    "json_validate": """SELECT id, CASE WHEN coalesce(ner, '') = '' THEN '[]' WHEN json_valid(ner) THEN ner ELSE 'invalid' END AS ner FROM recipe_nlg""",
     "jaccard_pairs": f"WITH {PAIRS} SELECT a, b, round(j, 6) AS jaccard FROM pairs WHERE j >= 0.5",
     "set_classes": f'WITH {CLEANED} SELECT id AS member, min(id) OVER (PARTITION BY list_sort(list_distinct(c))) AS "class" FROM cleaned',
+    "hybrid_pairs": f"WITH {HYBRID} SELECT a AS recipe_id, b AS match_id, round(cos, 9) AS semantic_score, round(j, 9) AS ingredient_jaccard, round(i, 9) AS title_similarity, round(h, 9) AS hybrid_score FROM hybrid",
+    "hybrid_validated": f"WITH {HYBRID} SELECT a AS recipe_id, b AS match_id FROM valid",
+    "recipe_classes": f'WITH {RECORDS} SELECT id AS member, "class" FROM records',
+    "title_similarity": f"""WITH pairs AS (SELECT p.recipe_id, p.match_id, {NORMAL('a.title')} AS title_a, {NORMAL('b.title')} AS title_b FROM (SELECT DISTINCT recipe_id, match_id FROM duplicate_likert_labels) p JOIN recipe_nlg a ON a.id = p.recipe_id
+  JOIN recipe_nlg b ON b.id = p.match_id), {titled_sql('pairs', 'recipe_id, match_id')} SELECT * FROM titled""",
     "clusters": f"WITH RECURSIVE {CLUSTERS} SELECT * FROM clusters",
     "cluster_size_hist": f"WITH RECURSIVE {CLUSTERS} SELECT cluster_size, count(*) AS n_members FROM clusters GROUP BY 1 ORDER BY 1 LIMIT 20",
     "largest_cluster_members": f"WITH RECURSIVE {CLUSTERS} SELECT * FROM clusters WHERE cluster_id = (SELECT cluster_id FROM clusters ORDER BY cluster_size DESC, cluster_id LIMIT 1)",

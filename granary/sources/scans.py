@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions.density_rows import compact_row, parse_data_row
+from granary.functions.text import is_json
 from granary.sources.schemas import Table
 
 #: Stands for a quoted empty field while Spark reads: it reads unquoted ones as null.
@@ -111,7 +112,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def checked_json(column: Column) -> Column:
     """A JSON text as it is, ``[]`` for null and empty; anything else raises."""
-    valid = F.when(F.try_parse_json(column).isNotNull(), column).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), F.substring(column, 1, 80))).cast("string"))
+    valid = F.when(is_json(column), column).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), F.substring(column, 1, 80))).cast("string"))
     return F.when(F.coalesce(column, F.lit("")) == "", F.lit("[]")).otherwise(valid)
 
 

@@ -6,7 +6,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from granary.functions import density_rows, similarity, text
+from granary.functions import embedding, density_rows, similarity, text
 from granary.operators import catalog, dedupe, graph, knn, loading, profile, review
 from granary.sources import scans, sinks
 from granary.sources.schemas import TABLES, table_of
@@ -78,7 +78,7 @@ def test_jaccard(spark, a, b, s):
 def test_vectors(spark):
     assert one(spark, [3.0, 4.0], similarity.l2_normalized, "array<float>") == pytest.approx([0.6, 0.8])
     assert one(spark, [0.0, 0.0], similarity.l2_normalized, "array<float>") == [0.0, 0.0]
-    v = one(spark, "a b b", lambda c: similarity.hashed_embedding(c, 8))
+    v = one(spark, "a b b", lambda c: embedding.hashed_letters(c, 8))
     assert sum(x * x for x in v) == pytest.approx(1.0)
 
 

@@ -70,11 +70,6 @@ def test_leaks(spark):
     assert leaks.found_leaks(df, items.limit(0)).count() == 0
 
 
-def test_chunks():
-    lists = [([0] * n, None) for n in (3, 4, 9, 1, 1)]
-    assert [len(c) for c in leaks.chunks(lists, 7)] == [2, 1, 2]
-
-
 def test_index_against_brute_force(spark):
     random.seed(11)
     words = [f"w{k}" for k in range(30)]

@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,15 @@ def plain_distance(a, b):
         for j, y in enumerate(b, 1):
             corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
     return row[-1]
+
+
+@pytest.mark.parametrize("unit", ["(a ", "„a b. ", "a.B", "12. ", '"a. ', "A. B. ", "“a. "])
+def test_boundaries_take_linear_time(unit):
+    def seconds(n):
+        text = (unit * (n // len(unit) + 1))[:n]
+        began = time.perf_counter()
+        sentences.sentences(text)
+        return time.perf_counter() - began
+
+    assert seconds(1 << 18) < 3 * seconds(1 << 17) + 0.5
+    assert seconds(1 << 20) < 10

@@ -149,17 +149,24 @@ def test_sentence_rows(spark):
 ITEMS = [
     (1, "food", "granulated sugar", ["white sugar", "caster sugar"]), (2, "food", "lemon", []), (3, "food", "lemon juice", None), (4, "food", "ham", []), (5, "food", "radish", []),
     (6, "food", "crème fraîche", []), (7, "food", "chopped parsley", []), (8, "food", "cod fillet", []), (9, "category", "Legumes and Pulses", []), (10, "food", "all-purpose flour", []), (11, "food", "ground beef", []),
+    (12, "category", "Sea Fish", []), (13, "category", "Dried Pasta", []), (14, "category", "Table Sauces", []),
 ]
+# Additions that the corpus teaches: none of them stands in the code.
+LEADING, TRAILING = ["goldcrest", "organic", "cold", "finely chopped", "out of this world"], ["to taste", "see note", "kept dry", "raw"]
+CORPUS = [f"{a} {i[2]}" for i in ITEMS if i[1] == "food" for a in LEADING] + [f"{i[2]}, {a}" for i in ITEMS if i[1] == "food" for a in TRAILING] + ["white sgr", "caster sgr"]
 VALUES = {
     "sugar, granulated": 1, "granulatedsugar": 1, "organic granulatd sgr": 1, "Caster Sugar (divided)": 1, "lemons": 2, "cold LEMON to taste": 2, "lemon-juice": 3, "juice lemon": 3, "hma": 4, "horseradish": 0,
     "creme fraiche": 6, "finely chopped chopped parsley": 7, "cod fillets": 8, "flour, alll-purpose": 10, "groud beef": 11, "to taste": 0, "n/a": 0, "velmberry jam": 0, "???": 0, "lemon juice - see note !": 3,
+    "Goldcrest ham kept dry": 4, "goldcerst out of this world hma": 4, "goldcrest": 0, "goldcrest velmberry jam": 0, "cold organic radish, raw, kept dry": 5, "unheard ham": 0,
 }
 
 
 def frames(spark, values):
-    recipes = spark.createDataFrame([(k, json.dumps([v, v]), "x") for k, v in enumerate(values)] + [(900, None, None), (901, "", None), (902, "[]", None)], "id long, ner string, value string")
+    packed = [json.dumps([v, v]) for v in values]
+    recipes = spark.createDataFrame([(k, t, "x") for k, t in enumerate(packed)] + [(900, None, None), (901, "", None), (902, "[]", None)] + [(2000 + k, json.dumps([v]), "x") for k, v in enumerate(CORPUS)], "id long, ner string, value string")
     density = spark.createDataFrame([(5, "Lemon, raw"), (6, None), (7, " ")], "id long, food_name string")
-    category = spark.createDataFrame([(1, "0100", "Grp 4: Pulses & Legumes etc."), (2, "0200", "Lottery"), (3, "", None)], "id int, code string, description string")
+    told = [f"Grp 4: {i[2]}" for i in ITEMS if i[1] == "category"] + [f"{i[2]} etc." for i in ITEMS if i[1] == "category"]
+    category = spark.createDataFrame([(1, "0100", "Grp 4: Pulses & Legumes etc."), (2, "0200", "Lottery"), (3, "", None)] + [(100 + k, "", t) for k, t in enumerate(told)], "id int, code string, description string")
     return recipes, density, category, spark.createDataFrame(ITEMS, "item_id int, kind string, name string, aliases array<string>")
 
 
@@ -167,8 +174,17 @@ def test_canonical(spark):
     got = canonical.found_items(*frames(spark, list(VALUES)))
     found = {(r["field"], r["record_id"]): r["item_id"] for r in got.collect()}
     assert [(v, found[("recipe_nlg.ner", k)]) for k, v in enumerate(VALUES)] == list(VALUES.items())
-    assert {k: v for k, v in found.items() if k[0] != "recipe_nlg.ner"} == {("food_density.food_name", 5): 2, ("food_category.description", 1): 9, ("food_category.description", 2): 0}
-    assert got.count() == len(VALUES) + 3
+    assert {k: v for k, v in found.items() if k[0] != "recipe_nlg.ner" and k[1] < 100} == {("food_density.food_name", 5): 2, ("food_category.description", 1): 9, ("food_category.description", 2): 0}
+    assert sorted(v for k, v in found.items() if k[0] == "food_category.description" and k[1] >= 100) == [9, 9, 12, 12, 13, 13, 14, 14]
+    assert got.count() == len(VALUES) + 3 + len(CORPUS) + 8
+
+
+def test_learned_rules(spark):
+    values = spark.createDataFrame([("food", v.lower(), 1) for v in CORPUS + ["lemon jam", "ham jam"]], "kind string, value string, rows long")
+    rules = canonical.learned_rules(values, canonical.canonical_names(frames(spark, [])[3]))
+    assert (sorted(rules["food"].leading.phrases), sorted(rules["food"].trailing.phrases), rules["food"].words) == (sorted(LEADING), sorted(TRAILING), {"sgr": "sugar"})
+    assert "goldcerst" in rules["food"].leading and "goldxxst" not in rules["food"].leading
+    assert canonical.learned_rules(values.limit(0), canonical.canonical_names(frames(spark, [])[3]))["food"].words == {}
 
 
 def test_canonical_empty(spark):
@@ -180,7 +196,7 @@ def test_prefix_filter_is_exact(spark):
     random.seed(9)
     letters = "abcdefg"
     names = [(k, "".join(random.choices(letters, k=random.randint(3, 9)))) for k in range(40)]
-    keys = ["".join(random.choices(letters, k=random.randint(3, 9))) for _ in range(150)]
+    keys = ["".join(random.choices(letters, k=random.randint(3, 9))) for _ in range(150)] + [names[3][1]]
     schema = "kind string, item_id int, name string, tokens array<string>"
     right = spark.createDataFrame([("food", k, n, canonical.tokens(n)) for k, n in names], schema)
     left = spark.createDataFrame([("food", k, canonical.tokens(k)) for k in sorted(set(keys))], "kind string, key string, tokens array<string>")
@@ -188,9 +204,9 @@ def test_prefix_filter_is_exact(spark):
     for key in set(keys):
         x = set(canonical.tokens(key))
         scored = [(len(x & set(canonical.tokens(n))) / len(x | set(canonical.tokens(n))), -plain_distance(key, n), -k, n) for k, n in names]
-        best = max(scored)
-        if best[0] >= canonical.THRESHOLD and canonical.slip(key, best[3]):
-            want[key] = -best[2]
+        passed = [p for p in scored if p[0] >= canonical.THRESHOLD and canonical.slip(key, p[3])]
+        if passed:
+            want[key] = -max(passed)[2]
     assert {r["key"]: r["item_id"] for r in canonical.best_names(left, right).collect()} == want
 
 

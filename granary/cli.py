@@ -1,26 +1,44 @@
-"""Command line: ``python -m granary.cli infer|recipes|density ...``."""
+"""Command line: ``python -m granary.cli infer|usda|recipes|density ...``."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators import catalog, loading
-from granary.sources import scans, sinks
-from granary.sources.schemas import table_of
+from granary.sources import connection, scans, sinks
+from granary.sources.schemas import DATABASES, table_of
 
 
 def infer(spark: SparkSession, args: argparse.Namespace) -> None:
     """Write the catalog with its inferred joins as JSON and print the report."""
-    columns = catalog.declared_columns(spark, args.schema)
-    content = catalog.payload(columns, catalog.infer_joins(columns), args.schema)
+    if args.database:
+        environment = connection.with_file(os.environ, args.settings)
+        told = {n: connection.read_table(spark, environment, n) for n in ("tables", "columns", "table_constraints", "key_column_usage", "constraint_column_usage")}
+        columns = catalog.described_columns(told["tables"], told["columns"], told["table_constraints"], told["key_column_usage"], args.schema)
+        foreign = catalog.foreign_keys(told["table_constraints"], told["key_column_usage"], told["constraint_column_usage"], args.schema)
+    else:
+        columns, foreign = catalog.declared_columns(spark, args.schema), None
+    content = catalog.payload(columns, catalog.infer_joins(columns, foreign), args.schema, foreign)
     sinks.write_report(content, args.out)
     print(catalog.report(content))
 
 
+def usda(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Load one CSV file per declared table from a folder, keys and required columns enforced; prints the rows of each."""
+    loaded = {}
+    for name in DATABASES["usda"]:
+        t = table_of(name)
+        rows = scans.read_csv(spark, f"{args.folder}/{name}.csv", t, multi_line=True if args.multi_line else None)
+        loaded[name] = sinks.overwrite_checked(rows, f"{args.target}/{name}", list(t.primary_key), list(t.required))
+    for r in loading.row_counts(loaded).orderBy("table_name").collect():
+        print(f"{r['table_name']}: {r['n']}")
+
+
 def recipes(spark: SparkSession, args: argparse.Namespace) -> None:
     """Load JSON-lines recipes (known ids ignored) and CSV recipes (above the highest id only)."""
     if args.open:
@@ -42,8 +60,9 @@ def density(spark: SparkSession, args: argparse.Namespace) -> None:
         sinks.write_csv(rows, args.csv)
     if not args.extract_only:
         rows = scans.read_csv(spark, args.csv, table_of("food_density"), names)
-        sinks.overwrite(rows.withColumn("id", F.monotonically_increasing_id()), f"{args.target}/food_density")
-        print(loading.row_counts({"food_density": spark.read.parquet(f"{args.target}/food_density")}).first()["n"], "rows")
+        t = table_of("food_density")
+        stored = sinks.overwrite_checked(rows.withColumn("id", F.monotonically_increasing_id()), f"{args.target}/food_density", list(t.primary_key), list(t.required))
+        print(loading.row_counts({"food_density": stored}).first()["n"], "rows")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -51,8 +70,15 @@ def main(argv: list[str] | None = None) -> None:
     commands = parser.add_subparsers(required=True)
     one = commands.add_parser("infer", help=infer.__doc__)
     one.add_argument("--schema", default="usda")
+    one.add_argument("--database", action="store_true", help="read the information schema of the database")
+    one.add_argument("--settings", default=".env", help="file of connection settings")
     one.add_argument("--out", default="schema_inferred.json")
     one.set_defaults(run=infer)
+    four = commands.add_parser("usda", help=usda.__doc__)
+    four.add_argument("--folder", required=True, help="folder of the CSV files, named as the tables")
+    four.add_argument("--target", required=True, help="folder of the tables")
+    four.add_argument("--multi-line", action="store_true", help="read every file for line breaks inside quotes")
+    four.set_defaults(run=usda)
     two = commands.add_parser("recipes", help=recipes.__doc__)
     two.add_argument("--open", help="JSON-lines files")
     two.add_argument("--nlg", help="CSV files")

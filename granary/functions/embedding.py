@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.functions.similarity import l2_normalized
+from granary.functions.similarity import l2_normalized, let
 
 Embedder = Callable[[Column], Column]
 
@@ -36,8 +36,8 @@ def triples(text: Column) -> Column:
 def hashed_letters(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Counts of letter triples, each at the place its digest names, scaled to length 1. Empty texts give zeros."""
     places = F.transform(triples(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dimensions)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
-    return l2_normalized(counts)
+    counts = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(found, lambda p: p == k)).cast("double"))
+    return l2_normalized(let(places, counts))
 
 
 def batch_model(load: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = 256) -> Embedder:

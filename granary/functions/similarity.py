@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,10 +20,15 @@ def inner_product(u: Column, v: Column) -> Column:
     return F.aggregate(F.zip_with(u, v, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value evaluated once: Spark would evaluate it anew at every place, in lambdas at every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def l2_normalized(v: Column) -> Column:
     """A vector of length 1; a zero vector stays as it is."""
-    norm = F.sqrt(inner_product(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    scaled = lambda w, norm: F.transform(w, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    return let(v, lambda w: let(F.sqrt(inner_product(w, w)), lambda norm: scaled(w, norm)))
 
 
 def hybrid_score(semantic: Column, ingredients: Column, title: Column) -> Column:

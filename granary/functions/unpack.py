@@ -1,8 +1,8 @@
 """Several values packed in one text: a quote-aware finite-state tokenizer.
 
 ``unpack`` is the pure function, ``unpacked`` the column. The automaton tracks whether it is inside a
-quoted value, whether the next character is escaped, and the bracket depth of list literals. Which
-characters delimit is read off the text itself: the strongest delimiter that occurs outside quotes.
+quoted value, whether the next character is escaped, and the depth of brackets. Which
+characters delimit is read off the text itself: the strongest delimiter that occurs outside quotes and brackets.
 
 Defined cases: null, empty and blank texts and ``[]`` hold no value; blank values are dropped and do
 not count as a position; a quote that is never closed runs to the end of the text; a malformed list
@@ -26,6 +26,8 @@ NOT_AVAILABLE = re.compile(r"(?<![^\W_])n/a(?![^\W_])", re.I)
 BULLET = re.compile(r"\s*[-–—*•▪◦‣·]\s+")
 NUMBER = re.compile(r"\s*\(?(\d{1,3})(?:[.):]|\s-)\s+")
 SPECIAL = re.compile("[\"\\\\\n\t;|·,/]")
+BRACKET = re.compile("[()\\[\\]{}\"\n]")
+CLOSING = {"(": ")", "[": "]", "{": "}"}
 IN_LIST = re.compile(r"[\"'\\\[\],]")
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
@@ -85,12 +87,32 @@ def closes(text: str, at: int, delimiters: str) -> bool:
     return at >= n or text[at] in delimiters
 
 
+def nested(text: str) -> list[tuple[int, int]]:
+    """Spans inside brackets (outermost ones) that close on their line and hold no quote."""
+    spans: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    for m in BRACKET.finditer(text):
+        char = m.group()
+        if char in CLOSING:
+            stack.append((CLOSING[char], m.start()))
+        elif char in '"\n':
+            stack = []
+        elif stack and stack[-1][0] == char:
+            begin = stack.pop()[1]
+            while spans and spans[-1][0] > begin:
+                spans.pop()
+            spans.append((begin, m.end()))
+    return spans
+
+
 def fields(text: str, delimiters: str) -> tuple[list[str], set[str]]:
-    """Split outside quotes; also the special characters that were met outside quotes."""
+    """Split outside quotes and brackets; also the special characters that were met there."""
     values: list[str] = []
     buffer: list[str] = []
     met: set[str] = set()
     quoted, fresh, at, n = False, True, 0, len(text)
+    spans = nested(text) if "(" in text or "[" in text or "{" in text else []
+    deep = 0
     while at < n:
         found = SPECIAL.search(text, at)
         where = found.start() if found else n
@@ -118,6 +140,11 @@ def fields(text: str, delimiters: str) -> tuple[list[str], set[str]]:
             buffer.append(text[at])
             at, fresh = at + 1, False
         else:
+            while deep < len(spans) and spans[deep][1] <= where:
+                deep += 1
+            if deep < len(spans) and spans[deep][0] < where:
+                buffer.append(char)
+                continue
             met.add(char)
             if char in delimiters:
                 values.append("".join(buffer))

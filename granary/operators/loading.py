@@ -30,9 +30,14 @@ def resume_rows(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
 def key_violations(df: DataFrame, key: list[str], required: list[str]) -> DataFrame:
     """check, column, n: repeated keys and nulls in required columns; empty if all hold."""
     repeated = df.groupBy(*key).count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("primary key").alias("check"), F.lit(", ".join(key)).alias("column"), "n")
+    return repeated.unionByName(null_counts(df, required)).where("n > 0")
+
+
+def null_counts(df: DataFrame, required: list[str]) -> DataFrame:
+    """check, column, n of the required columns that hold nulls."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
-    nulls = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in required])).alias("x")).select(F.lit("not null").alias("check"), "x.column", "x.n")
-    return repeated.unionByName(nulls).where("n > 0")
+    told = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in required])).alias("x"))
+    return told.select(F.lit("not null").alias("check"), "x.column", "x.n").where("n > 0")
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators import quantities, stamps, unpacking
-from granary.session import table
+from granary.session import spread, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unpacking.found_values(table(spark, sf_dir, "recipe_nlg"), table(spark, sf_dir, "open_recipe"))
+    return unpacking.found_values(spread(table(spark, sf_dir, "recipe_nlg")), table(spark, sf_dir, "open_recipe"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantities.found_quantities(*[table(spark, sf_dir, t) for t in ("recipe_nlg", "food_density", "measure_unit")])
+    return quantities.found_quantities(*[spread(table(spark, sf_dir, t)) if t == "recipe_nlg" else table(spark, sf_dir, t) for t in ("recipe_nlg", "food_density", "measure_unit")])
 
 
 def p6_bare_units(spark: SparkSession, sf_dir: str) -> DataFrame:

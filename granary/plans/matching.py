@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import similarity
+from granary.functions.embedding import DIMENSIONS, Embedder, hashed_letters
+from granary.functions.text import simple_clean
 from granary.operators import catalog, dedupe, knn, loading, profile
-from granary.session import table
+from granary.operators.numbering import numbered
+from granary.plans.recipes import CLEANED, unique_phrases
+from granary.session import cut, table
 
 ACCEPT, LOW, HIGH, PAIRED = 0.35, 0.25, 0.35, 0.30
 
@@ -73,6 +77,31 @@ def topk_strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).orderBy(F.desc("similarity"), "query_id", "match_id").limit(20).select("query_id", "match_id")
 
 
+MATCHED = 0.72
+
+
+def _phrase_foods(spark: SparkSession, sf_dir: str, embed: Embedder = hashed_letters) -> DataFrame:
+    """The five nearest foods of the list of each different ingredient phrase: two tables, embedded alike."""
+    phrases = numbered(unique_phrases(spark, sf_dir), "phrase_id", "phrase")
+    foods = table(spark, sf_dir, "canonical_item").where("kind = 'food'").select("item_id", "name")
+    asked = cut(phrases.select("phrase_id", "phrase", embed(F.col("phrase")).alias("v")))
+    near = knn.nearest(asked, foods.select("item_id", embed(simple_clean(F.col("name"))).alias("v")), 5, "phrase_id", "item_id", "v", "v", digits=9)
+    named = near.join(asked.select(F.col("phrase_id").alias("query_id"), "phrase"), "query_id").join(foods.select(F.col("item_id").cast("long").alias("match_id"), "name"), "match_id")
+    return named.select("phrase", "rank", F.col("match_id").cast("int").alias("item_id"), "name", F.col("similarity").cast("float").alias("similarity"))
+
+
+def phrase_foods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _phrase_foods(spark, sf_dir).withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
+
+
+def phrase_best_food(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.best_matches(_phrase_foods(spark, sf_dir), "phrase").select("phrase", "item_id", "name")
+
+
+def phrase_accepted_food(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.at_least(knn.best_matches(_phrase_foods(spark, sf_dir), "phrase"), "similarity", MATCHED).select("phrase", "item_id")
+
+
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.describe(table(spark, sf_dir, "lineitem"), "l_extendedprice").withColumn("value", F.round("value", 3))
 
@@ -155,7 +184,7 @@ def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        json_extract, l2_normalize, knn_topk, threshold_pairs, unique_pairs, knn_match_top5, best_match, accepted_matches, midrange_matches, topk_weakest, topk_strongest, describe, safe_cast,
+        json_extract, l2_normalize, knn_topk, threshold_pairs, unique_pairs, knn_match_top5, best_match, accepted_matches, midrange_matches, topk_weakest, topk_strongest, phrase_foods, phrase_best_food, phrase_accepted_food, describe, safe_cast,
         left_join_lookup, star_join_lookup, insert_ignore, insert_ignore_recipes, resume_hwm, pk_violations, union_counts, infer_joins, satellites, fuzzy_best_match,
     )
 }
@@ -164,6 +193,20 @@ SCORED = """scored AS (SELECT q.vec_id AS query_id, t.vec_id AS match_id, t.labe
   FROM embeddings q JOIN embeddings t ON q.vec_id <> t.vec_id WHERE q.vec_id % 100 = 0),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, match_id) AS rank FROM scored),
   cand AS (SELECT query_id, rank, match_id, match_label, s::FLOAT AS similarity FROM ranked WHERE rank <= 5)"""
+
+
+def letters_sql(name: str, source: str, text: str) -> str:
+    """``name``: the rows of ``source`` with their hashed letter triples as the vector v."""
+    padded = f"(' ' || {text} || ' ')"
+    places = f"list_transform(range(1, length({padded}) - 1), lambda i: ('0x' || substr(md5(substr({padded}, i, 3)), 1, 8))::BIGINT % {DIMENSIONS})"
+    return f"""{name}_places AS MATERIALIZED (SELECT *, {places} AS places FROM {source}),
+  {name} AS MATERIALIZED (SELECT *, list_transform(range(0, {DIMENSIONS}), lambda k: len(list_filter(places, lambda p: p = k))::DOUBLE) AS v FROM {name}_places)"""
+
+
+PHRASE_FOODS = rf"""{CLEANED}, told AS (SELECT phrase FROM (SELECT DISTINCT unnest(c) AS phrase FROM cleaned) WHERE trim(phrase) <> ''), {letters_sql('phrases', 'told', 'phrase')},
+  names AS (SELECT item_id, name, trim(regexp_replace(regexp_replace(lower(name), '[^a-z\s]', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM canonical_item WHERE kind = 'food'), {letters_sql('foods', 'names', 'n')},
+  paired AS (SELECT phrase, item_id, name, round(list_inner_product(p.v, f.v) / sqrt(list_inner_product(p.v, p.v) * list_inner_product(f.v, f.v)), 9) AS s FROM phrases p CROSS JOIN foods f),
+  matched AS MATERIALIZED (SELECT phrase, item_id, name, s::FLOAT AS similarity, row_number() OVER (PARTITION BY phrase ORDER BY s DESC, item_id) AS rank FROM paired)"""
 JOINS = [
     ("branded_food", "fdc_id", "food", "fdc_id"), ("fndds_ingredient_nutrient_value", "fdc_id", "food", "fdc_id"), ("food", "food_category_id", "food_category", "id"), ("food_component", "fdc_id", "food", "fdc_id"),
     ("food_nutrient", "fdc_id", "food", "fdc_id"), ("food_nutrient", "nutrient_id", "nutrient", "id"), ("food_portion", "fdc_id", "food", "fdc_id"), ("food_portion", "measure_unit_id", "measure_unit", "id"),
@@ -186,6 +229,9 @@ ORACLES = {
     "midrange_matches": f"WITH {SCORED} SELECT query_id, rank, match_id FROM cand WHERE similarity > 0.25::FLOAT AND similarity < 0.35::FLOAT",
     "topk_weakest": f"WITH {SCORED} SELECT query_id, match_id FROM cand ORDER BY similarity, query_id, match_id LIMIT 20",
     "topk_strongest": f"WITH {SCORED} SELECT query_id, match_id FROM cand ORDER BY similarity DESC, query_id, match_id LIMIT 20",
+    "phrase_foods": f"WITH {PHRASE_FOODS} SELECT phrase, rank, item_id, name, round(similarity::DOUBLE, 5) AS similarity FROM matched WHERE rank <= 5",
+    "phrase_best_food": f"WITH {PHRASE_FOODS} SELECT phrase, item_id, name FROM matched WHERE rank = 1",
+    "phrase_accepted_food": f"WITH {PHRASE_FOODS} SELECT phrase, item_id FROM matched WHERE rank = 1 AND similarity >= 0.72::FLOAT",
     "describe": """WITH s AS (SELECT count(l_extendedprice)::DOUBLE AS c, avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS d, min(l_extendedprice) AS lo, quantile_cont(l_extendedprice, 0.25) AS q1,
   quantile_cont(l_extendedprice, 0.5) AS q2, quantile_cont(l_extendedprice, 0.75) AS q3, max(l_extendedprice) AS hi FROM lineitem)
   SELECT statistic, round(value, 3) AS value FROM (SELECT unnest(['count', 'mean', 'std', 'min', '25%', '50%', '75%', 'max']) AS statistic, unnest([c, m, d, lo, q1, q2, q3, hi]) AS value FROM s)""",

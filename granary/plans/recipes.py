@@ -183,7 +183,7 @@ def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.seeded_sample(labels(spark, sf_dir).select("recipe_id", "match_id", "hybrid_score").distinct(), ["recipe_id", "match_id", "hybrid_score"], 20, SEED)
+    return profile.seeded_sample(labels(spark, sf_dir).select("recipe_id", "match_id").distinct(), ["recipe_id", "match_id"], 20, SEED)
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,5 +305,7 @@ ORACLES = {
     "validated_pairs": "SELECT recipe_id, match_id, semantic_score, ingredient_jaccard, hybrid_score FROM duplicate_likert_labels WHERE semantic_score >= 0.92 AND ingredient_jaccard >= 0.50 AND hybrid_score >= 0.75",
     "mirror_removal": "SELECT least(recipe_id, match_id) AS recipe_id, greatest(recipe_id, match_id) AS match_id, max(hybrid_score) AS hybrid_score FROM duplicate_likert_labels WHERE recipe_id <> match_id GROUP BY 1, 2",
     "unlabeled_queue": f"WITH {QUEUE} SELECT * FROM queue",
+    "seeded_sample": "SELECT recipe_id, match_id FROM (SELECT DISTINCT recipe_id, match_id FROM duplicate_likert_labels) ORDER BY md5('42|' || coalesce(recipe_id::VARCHAR, 'null') || '|' || coalesce(match_id::VARCHAR, 'null')), recipe_id, match_id LIMIT 20",
+    "review_queue": f"WITH {QUEUE} SELECT recipe_id, match_id, md5('42|' || coalesce(recipe_id::VARCHAR, 'null') || '|' || coalesce(match_id::VARCHAR, 'null')) AS place FROM queue",
     "append_label": f"WITH {QUEUE} SELECT recipe_id, match_id, likert_label, notes FROM duplicate_likert_labels WHERE likert_label IS NOT NULL UNION ALL SELECT recipe_id, match_id, 3, 'unsure' FROM queue",
 }

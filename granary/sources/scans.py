@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from granary.functions.density_rows import compact_row, parse_data_row
 from granary.functions.text import is_json
-from granary.sources.schemas import Table
+from granary.sources.schemas import WHOLE_LINES, Table
 
 #: Stands for a quoted empty field while Spark reads: it reads unquoted ones as null.
 EMPTY = "\u0001empty\u0001"
@@ -21,23 +21,27 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 RENAMED = {"recipe_yield": "recipeYield", "recipe_category": "recipeCategory", "cook_time": "cookTime", "prep_time": "prepTime", "total_time": "totalTime", "date_published": "datePublished", "date_modified": "dateModified"}
 
 
-def read_csv(spark: SparkSession, path: str | list[str], table: Table, columns: list[str] | None = None, mode: str = "FAILFAST") -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], table: Table, columns: list[str] | None = None, mode: str = "FAILFAST", multi_line: bool | None = None) -> DataFrame:
     """Strict bulk scan: header skipped, columns by position (or in the order of ``columns``), quote and escape
-    are ``"``. Unquoted empty fields are null, quoted ones the empty string. A row of wrong type or length raises."""
+    are ``"``. Unquoted empty fields are null, quoted ones the empty string. A row of wrong type or length raises.
+
+    A file that may hold line breaks inside quotes (``multi_line``, by default any table but those of numbers and codes) is read by
+    one task; the others are split. Such a break where none is expected makes a row of wrong length, which raises."""
     schema = table.columns(columns)
+    multi_line = table.name not in WHOLE_LINES if multi_line is None else multi_line
     rows = (
         spark.read.schema(schema)
-        .options(header=True, quote='"', escape='"', multiLine=True, mode=mode, enforceSchema=True, nullValue="", emptyValue=EMPTY)
+        .options(header=True, quote='"', escape='"', multiLine=multi_line, mode=mode, enforceSchema=True, nullValue="", emptyValue=EMPTY)
         .csv(path)
     )
     text = {f.name for f in schema if isinstance(f.dataType, T.StringType)}
     return rows.select(*[F.when(F.col(c) == EMPTY, "").otherwise(F.col(c)).alias(c) if c in text else F.col(c) for c in rows.columns])
 
 
-def read_csv_lenient(spark: SparkSession, path: str | list[str], schema: T.StructType, na: list[str] = NA_TOKENS) -> DataFrame:
+def read_csv_lenient(spark: SparkSession, path: str | list[str], schema: T.StructType, na: list[str] = NA_TOKENS, multi_line: bool = True) -> DataFrame:
     """Scan that takes every NA token for null and values that do not fit a type for null."""
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    rows = spark.read.schema(text).options(header=True, quote='"', escape='"', multiLine=True, mode="PERMISSIVE").csv(path)
+    rows = spark.read.schema(text).options(header=True, quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE").csv(path)
     value = lambda f: F.when(~F.trim(F.col(f.name)).isin(na), F.col(f.name))
     return rows.select(*[(value(f) if isinstance(f.dataType, T.StringType) else value(f).try_cast(f.dataType)).alias(f.name) for f in schema])
 
@@ -120,13 +124,3 @@ def listed_strictly(column: Column) -> Column:
     """A list literal as ``array<string>``; a malformed one raises, null stays null."""
     parsed = F.from_json(column, "array<string>")
     return F.when(column.isNull() | parsed.isNotNull(), parsed).otherwise(F.raise_error(F.concat(F.lit("not a list: "), F.substring(column, 1, 80))).cast("array<string>"))
-
-
-def jdbc_options(env: dict[str, str]) -> dict[str, str]:
-    """Options of ``spark.read.format("jdbc")`` from environment-like settings (host, port, name, user, password)."""
-    return {
-        "url": f"jdbc:postgresql://{env.get('PGHOST', 'localhost')}:{env.get('PGPORT', '5432')}/{env.get('PGDATABASE', 'postgres')}",
-        "user": env.get("PGUSER", "postgres"),
-        "password": env.get("PGPASSWORD", ""),
-        "driver": "org.postgresql.Driver",
-    }

@@ -44,6 +44,11 @@ TABLES = {
     "food_density": "id* long!, food_group string, food_name string!, density_g_per_ml string!, specific_gravity string, biblio_id string, updated_version_2 boolean!",
 }
 
+# Tables of numbers and codes: no line break stands inside quotes, so their files can be split. Any other file is read by one task.
+WHOLE_LINES = frozenset(
+    "food_nutrient food_component food_portion sub_sample_result sub_sample_food sample_food sr_legacy_food survey_fndds_food lab_method_code lab_method_nutrient microbe fndds_ingredient_nutrient_value".split()
+)
+
 DATABASES = {"recipe": ("open_recipe", "recipe_nlg"), "conversions": ("food_density",)}
 DATABASES["usda"] = tuple(t for t in TABLES if t not in ("open_recipe", "recipe_nlg", "food_density"))
 

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators.loading import insert_or_ignore, resume_rows
+from granary.operators.loading import insert_or_ignore, key_violations, null_counts, resume_rows
 from granary.sources.schemas import DATABASES, Table
 
 
@@ -23,19 +23,59 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def append_new(batch: DataFrame, path: str, key: list[str], order: list[str]) -> int:
     """Append the rows whose key the table does not hold, the first of each key. Returns the number of rows
-    submitted, not of those inserted."""
-    spark = batch.sparkSession
-    target = _read(spark, path, batch)
+    submitted, not of those inserted.
+
+    One pass over the batch counts it and finds its lowest and highest first key: of the table only keys between them are read,
+    and files outside are skipped by their statistics.
+    """
+    rows, low, high = batch.agg(F.count(F.lit(1)), F.min(key[0]), F.max(key[0])).first()
+    target = _read(batch.sparkSession, path, batch).where(F.col(key[0]).between(low, high))
     insert_or_ignore(batch, target, key, order).write.mode("append").parquet(path)
-    return batch.count()
+    return rows
 
 
 def append_resumed(batch: DataFrame, path: str, key: str) -> int:
-    """Append the rows above the highest key of the table; a rerun after a loss appends only what is missing."""
+    """Append the rows above the highest key of the table; a rerun after a loss appends only what is missing. Returns their number,
+    from the sizes in the files' footers."""
+    target = _read(batch.sparkSession, path, batch)
+    before = target.count()
+    resume_rows(batch, target, key).write.mode("append").parquet(path)
+    return _read(batch.sparkSession, path, batch).count() - before
+
+
+def append_checked(batch: DataFrame, path: str, key: list[str], required: list[str]) -> None:
+    """Append a batch whose keys are new and single and whose required columns hold no null; else raise and write nothing."""
     target = _read(batch.sparkSession, path, batch)
-    rows = resume_rows(batch, target, key)
-    rows.write.mode("append").parquet(path)
-    return rows.count()
+    check_keys(batch, key, required)
+    known = batch.join(target.select(*key), key, "left_semi").limit(1).count()
+    if known:
+        raise ValueError(f"primary key ({', '.join(key)}): the table holds keys of the batch already")
+    batch.write.mode("append").parquet(path)
+
+
+def overwrite_checked(df: DataFrame, path: str, key: list[str], required: list[str]) -> DataFrame:
+    """Write the table anew and return it. It is written beside its place and checked there, so that a batch that breaks a key or a
+    required column raises and leaves the old table as it was."""
+    spark = df.sparkSession
+    beside, place = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.incoming", path))
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    overwrite(df, f"{path}.incoming")
+    try:
+        check_keys(spark.read.schema(df.schema).parquet(f"{path}.incoming"), key, required)
+    except ValueError:
+        files.delete(beside, True)
+        raise
+    files.delete(place, True)
+    files.rename(beside, place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def check_keys(df: DataFrame, key: list[str], required: list[str]) -> None:
+    """Raise where a key is repeated or a required column (key columns are required) holds a null."""
+    needed = list(dict.fromkeys([*key, *required]))
+    broken = (key_violations(df, key, needed) if key else null_counts(df, needed)).collect() if needed else []  # at most one row per column
+    if broken:
+        raise ValueError("; ".join(f"{r['check']} ({r['column']}): {r['n']}" for r in broken))
 
 
 def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import embedding, density_rows, similarity, text
 from granary.operators import catalog, dedupe, graph, knn, loading, profile, review
-from granary.sources import scans, sinks
+from granary.sources import connection, scans, sinks
 from granary.sources.schemas import TABLES, table_of
 from granary.streaming.ingest import load_new_files
 from tests.conftest import ROOT, rows
@@ -145,6 +145,8 @@ def test_knn_is_exact(spark):
             want = sorted((k for k in range(60) if k != q), key=lambda k: (-s[k], k))[:3]
             assert [r["match_id"] for r in sorted(got.where(F.col("query_id") == q).collect(), key=lambda r: r["rank"])] == want
     assert knn.nearest(df.limit(0), df, 3, "id", "id", "v", "v").count() == 0
+    whole = rows(knn.nearest(df, df, 3, "id", "id", "v", "v", skip_self=True, digits=9).withColumn("similarity", F.round("similarity", 6)))
+    assert rows(knn.nearest(df, df, 3, "id", "id", "v", "v", skip_self=True, block=7, group=11, digits=9).withColumn("similarity", F.round("similarity", 6))) == whole
 
 
 def test_single_precision_threshold(spark):
@@ -248,11 +250,80 @@ def test_catalog(spark):
     assert len(TABLES) == 28
 
 
+def test_information_schema(spark):
+    frame = lambda names, *data: spark.createDataFrame(data, ", ".join(f"{n} string" for n in names.split()))
+    tables = frame("table_schema table_name table_type", ("s", "a", "BASE TABLE"), ("s", "b", "BASE TABLE"), ("s", "v", "VIEW"), ("x", "a", "BASE TABLE"))
+    columns = frame("table_schema table_name column_name ordinal_position data_type is_nullable", ("s", "a", "id", "1", "bigint", "NO"), ("s", "b", "k", "1", "int", "NO"), ("s", "b", "a_id", "2", "bigint", "YES"), ("s", "v", "id", "1", "int", "YES"), ("x", "a", "id", "1", "int", "YES"))
+    constraints = frame("table_schema table_name constraint_name constraint_type", ("s", "a", "a_pk", "PRIMARY KEY"), ("s", "b", "b_pk", "PRIMARY KEY"), ("s", "b", "b_fk", "FOREIGN KEY"), ("x", "a", "a_pk", "PRIMARY KEY"))
+    usage = frame("table_schema constraint_name column_name ordinal_position", ("s", "a_pk", "id", "1"), ("s", "b_pk", "k", "1"), ("s", "b_pk", "a_id", "2"), ("s", "b_fk", "a_id", "1"), ("x", "a_pk", "id", "1"))
+    targets = frame("table_schema constraint_name table_name column_name", ("s", "b_fk", "a", "id"), ("x", "b_fk", "a", "zz"))
+    told = catalog.described_columns(tables, columns, constraints, usage, "s")
+    assert rows(told, "table", "column", "nullable", "in_key", "key_size") == [("a", "id", False, True, 1), ("b", "a_id", True, True, 2), ("b", "k", False, True, 2)]
+    foreign = catalog.foreign_keys(constraints, usage, targets, "s")
+    assert rows(foreign) == [("b", "a_id", "a", "id", "b_fk")]
+    content = catalog.payload(told, catalog.infer_joins(told, foreign), "s", foreign)
+    assert content["foreign_keys"][0]["source"] == "foreign_key" and content["inferred_joins"] == [] and "b.a_id -> a.id" in catalog.report(content)
+
+
+def test_connection(tmp_path):
+    (tmp_path / "env").write_text("# no\nPG_POOL_USER = me\nPG_PASSWORD=a b@/\n\nPG_POOL_HOST=h\nPG_POOL_HOST=second\nbroken\n")
+    env = connection.with_file({"PG_POOL_USER": "you"}, tmp_path / "env")
+    assert connection.url(env) == "postgresql://you:a+b%40%2F@h:5432/postgres?sslmode=require"
+    assert connection.jdbc_options({**env, "PG_PSQL_USE_TRANSACTION_POOLER_PORT": "1"})["url"] == "jdbc:postgresql://h:6543/postgres?sslmode=require"
+    with pytest.raises(KeyError, match="PG_PASSWORD"):
+        connection.url(connection.with_file({"PG_POOL_USER": "you", "PG_POOL_HOST": "h"}, tmp_path / "none"))
+
+
+def test_keys_are_enforced(spark, tmp_path):
+    path = str(tmp_path / "t")
+    good = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    assert rows(sinks.overwrite_checked(good, path, ["id"], ["v"])) == [(1, "a"), (2, "b")]
+    for bad, told in (([(3, "a"), (3, "b")], "primary key"), ([(3, None)], "not null"), ([(None, "a")], "not null")):
+        df = spark.createDataFrame(bad, "id long, v string")
+        with pytest.raises(ValueError, match=told):
+            sinks.overwrite_checked(df, path, ["id"], ["v"])
+        with pytest.raises(ValueError, match=told):
+            sinks.append_checked(df, path, ["id"], ["v"])
+    with pytest.raises(ValueError, match="already"):
+        sinks.append_checked(good, path, ["id"], ["v"])
+    sinks.append_checked(spark.createDataFrame([(7, "c")], "id long, v string"), path, ["id"], ["v"])
+    assert rows(spark.read.parquet(path)) == [(1, "a"), (2, "b"), (7, "c")]
+
+
+def test_embedders(spark):
+    df = spark.createDataFrame([(1, "brown sugar"), (2, "sugar brown"), (3, ""), (4, None)], "id int, t string")
+    got = {r["id"]: r["v"] for r in df.select("id", embedding.hashed_letters(F.col("t")).alias("v")).collect()}
+    assert all(len(v) == embedding.DIMENSIONS for v in got.values()) and sum(a * b for a, b in zip(got[1], got[2])) > 0.5
+    assert got[3] == got[4] and sum(got[3]) == 0
+    model = embedding.batch_model(lambda: lambda texts: [[len(t), t.count("s") * 1.0] for t in texts], batch_size=2)
+    vectors = {r["id"]: r["v"] for r in df.select("id", model(F.col("t")).alias("v")).collect()}
+    assert vectors[1] == pytest.approx([11 / 122**0.5, 1 / 122**0.5]) and vectors[4] == [0.0, 0.0]
+
+
+def test_common_against_table():
+    import random
+
+    random.seed(2)
+    for _ in range(200):
+        a, b = ("".join(random.choices("abc", k=random.randint(0, 12))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            corner = 0
+            for j, y in enumerate(b, 1):
+                corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
+        assert similarity.common(a, b) == row[-1]
+
+
 def test_profile(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "x double")
     got = dict(rows(profile.describe(df, "x")))
     assert (got["count"], got["25%"], got["50%"], got["75%"]) == (4.0, 1.75, 2.5, 4.75)
     assert dict(rows(profile.describe(df.limit(0), "x")))["count"] == 0.0
+    import statistics
+
+    many = [float(k % 7 if k % 3 else 3) for k in range(2000)]
+    got = dict(rows(profile.describe(spark.createDataFrame([(x,) for x in many], "x double"), "x")))
+    assert [got[q] for q in ("25%", "50%", "75%")] == statistics.quantiles(many, n=4, method="inclusive")
     keys = spark.range(100)
     a = profile.seeded_sample(keys, ["id"], 10, 42).collect()
     assert a == profile.seeded_sample(keys.repartition(9), ["id"], 10, 42).collect() and len(a) == 10
@@ -275,5 +346,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "t/open_recipe")).count() == 1
     assert rows(spark.read.parquet(str(tmp_path / "t/recipe_nlg")), "id", "ner") == [(0, "[]")]
     (tmp_path / "d.csv").write_text('g,n,d,s,b,u\nMilk,Whey,0.5,,7,true\n')
+    from granary.sources.schemas import DATABASES
+
+    os.mkdir(tmp_path / "usda")
+    for name in DATABASES["usda"]:
+        (tmp_path / f"usda/{name}.csv").write_text(",".join(table_of(name).schema.names) + "\n" + ("1,Dairy\n" if name == "measure_unit" else ""))
+    cli.main(["usda", "--folder", str(tmp_path / "usda"), "--target", str(tmp_path / "u")])
+    assert "measure_unit: 1" in capsys.readouterr().out
     cli.main(["density", "--csv", str(tmp_path / "d.csv"), "--target", str(tmp_path / "t")])
     assert rows(spark.read.parquet(str(tmp_path / "t/food_density")), "food_name", "updated_version_2") == [("Whey", True)]

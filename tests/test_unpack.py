@@ -79,3 +79,8 @@ def test_found_values(spark):
         ("recipe_nlg.ingredients", "1", 2, "b"), ("recipe_nlg.ner", "1", 1, "x"), ("recipe_nlg.ner", "1", 2, "y"),
     ]
     assert found_values(nlg.limit(0), opened.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,values", [("1 cup nuts (walnuts, pecans), 2 eggs", ["1 cup nuts (walnuts, pecans)", "2 eggs"]), ("a (b, c", ["a (b", "c"]), ("x (y [z; w], v); q, r", ["x (y [z; w], v)", "q, r"]), ("a), b (c", ["a)", "b (c"]), ('a (b, "c, d)", e', ["a (b", "c, d)", "e"])])
+def test_brackets(text, values):
+    assert unpack(text) == values

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import bpe, canonical, components, copies, leaks, sentences, survivors
-from granary.session import table
+from granary.session import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.found_items(*[table(spark, sf_dir, t) for t in ("recipe_nlg", "food_density", "food_category", "canonical_item")])
+    return canonical.found_items(*[spread(table(spark, sf_dir, t)) if t == "recipe_nlg" else table(spark, sf_dir, t) for t in ("recipe_nlg", "food_density", "food_category", "canonical_item")])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.copies(table(spark, sf_dir, "recipe_nlg"))
+    return copies.copies(spread(table(spark, sf_dir, "recipe_nlg")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def p5_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.found_ids(table(spark, sf_dir, "documents"))
+    return bpe.found_ids(spread(table(spark, sf_dir, "documents")))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.found_sentences(table(spark, sf_dir, "documents"))
+    return sentences.found_sentences(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p5_votes, p8_ids, p9_found, p10_found)}

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.leaves import PLACEHOLDERS, different_values, normal_values
-from granary.operators.stamps import with_registry
+from granary.operators.skew import join_unique
+from granary.operators.stamps import source_key, with_registry
+from granary.session import cut
 
 
 def unpivot(df: DataFrame, group: str, record: str, fields: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -30,11 +32,16 @@ def elect(long: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def grouped_records(recipes: DataFrame, groups: DataFrame, registry: DataFrame) -> DataFrame:
-    """Records of recipe_nlg that belong to a group of at least two of them, with the trust of their source."""
-    found = groups.join(recipes.select("id", "ingredients", "directions", "source"), groups["recipe_id"] == recipes["id"]).drop("recipe_id")
-    sizes = groups.join(recipes.select("id"), groups["recipe_id"] == recipes["id"], "left_semi").groupBy("group_id").agg(F.count("*").alias("n"))
-    lonely = sizes.where("n = 1").select("group_id")  # the rare small side: a hot group is never in it
-    return with_registry(found.join(lonely, "group_id", "left_anti"), registry)
+    """Records of recipe_nlg that belong to a group of at least two of them, with the trust of their source.
+
+    Groups are sized and lonely records dropped on ids alone, a hot group being split; only then are the texts fetched, by
+    record, so that no group gathers its texts anywhere.
+    """
+    there = cut(groups.join(recipes.select(F.col("id").alias("recipe_id")), "recipe_id").select("group_id", "recipe_id"))
+    sizes = there.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1")
+    members = join_unique(there, sizes, ["group_id"], "n", there.count()).select("group_id", "recipe_id")
+    found = members.join(recipes.select("id", "ingredients", "directions", "source"), F.col("recipe_id") == F.col("id")).drop("recipe_id")
+    return with_registry(found, registry)
 
 
 def found_survivors(recipes: DataFrame, groups: DataFrame, registry: DataFrame) -> DataFrame:
@@ -53,7 +60,7 @@ def voted_survivors(recipes: DataFrame, groups: DataFrame, registry: DataFrame,
 
     A vote weighs 1 / trust of the source (trust 10 where unregistered) times a decay by age, halved every
     ``half_life`` ids before the latest id (recipe_nlg has no date; ids rise with time). Empty contents and
-    placeholders are no candidates.
+    placeholders are no candidates, nor are null and blank sources; sources are the same whatever their case and outer blanks.
     """
     @F.pandas_udf("string")
     def content(batch: pd.Series) -> pd.Series:
@@ -63,8 +70,8 @@ def voted_survivors(recipes: DataFrame, groups: DataFrame, registry: DataFrame,
     records = grouped_records(recipes, groups, registry)
     latest = recipes.agg(F.max("id").alias("latest"))
     weight = 1 / F.coalesce("reg_trust", F.lit(10)) * F.pow(F.lit(0.5), (F.col("latest") - F.col("id")) / F.lit(half_life))
-    records = records.join(F.broadcast(latest)).select("group_id", "id", content("ingredients").alias("ingredients"), content("directions").alias("directions"), weight.alias("w"))
+    records = records.join(F.broadcast(latest)).select("group_id", "id", content("ingredients").alias("ingredients"), content("directions").alias("directions"), F.nullif(source_key("source"), F.lit("")).alias("source"), weight.alias("w"))
     digest = lambda c: F.md5(F.col(c))
-    long = unpivot(records, "group_id", "id", {c: (digest(c), F.col("w")) for c in ("ingredients", "directions")})
-    chosen = elect(long, ["ingredients", "directions"])
-    return chosen.select(F.col("group").alias("group_id"), F.col("ingredients").alias("ingredients_from"), F.col("directions").alias("directions_from"))
+    long = unpivot(records, "group_id", "id", {c: (digest(c), F.col("w")) for c in ("ingredients", "directions", "source")})
+    chosen = elect(long, ["ingredients", "directions", "source"])
+    return chosen.select(F.col("group").alias("group_id"), F.col("ingredients").alias("ingredients_from"), F.col("directions").alias("directions_from"), F.col("source").alias("source_from"))

@@ -126,6 +126,11 @@ def test_survivors(spark):
     votes = rows(survivors.voted_survivors(df, groups, registry))
     assert [v[0] for v in votes] == [1, 4]
     assert votes[0][1] == 2  # two records say a and b
+    assert [v[3] for v in votes] == [3, None]  # the most trusted source; no record of the other group has one
+    spoken = recipe(spark, (1, "t", "a", "x", "S.three"), (2, "t", "a", "x", " s.THREE "), (3, "t", "a", "x", "s.two"), (4, "t", "a", "x", " "))
+    five = spark.createDataFrame([("s.two", 3, "UTC", "DMY"), ("s.three", 4, "UTC", "DMY")], REGISTRY)
+    once = spark.createDataFrame([(k, 1) for k in (1, 2, 3, 4)], "recipe_id long, group_id long")
+    assert rows(survivors.voted_survivors(spoken, once, five)) == [(1, 1, 1, 1)]  # two of trust 4 outvote one of trust 3
 
 
 def test_elect_sums_votes_and_breaks_ties(spark):
